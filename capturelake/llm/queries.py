@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturelake.functions.address import address
-from capturelake.llm import duplicates, survivor
+from capturelake.llm import duplicates, leakage, survivor, tokens, truncation
 from capturelake.llm.duplicates import Field
-from capturelake.session import table
+from capturelake.session import materialise, table
 
 #: Tables of problem 3, each with its id and the fields of its key.
 ADDRESSED = {
@@ -50,5 +50,52 @@ def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(_hits(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p6_found, p6_survivors)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens and characters of the corpus by source."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("chars"))
+    return (
+        tokens.encode(table(spark, d, "documents")).select("doc_id", F.size("ids").alias("n"))
+        .join(docs, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.sum("chars").alias("chars"))
+    )
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Test items that leaked, with the number of documents that hold them."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+def _inspected(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(truncation.inspect(table(spark, d, "documents")), "endings")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judge(_inspected(spark, d)).filter("cut").select(F.col("row_id").alias("doc_id"))
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cut texts per source."""
+    judged = truncation.judge(_inspected(spark, d))
+    return judged.groupBy("source").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if("cut").alias("cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("cut_at_limit"),
+        F.round(F.count_if("cut") / F.count(F.lit(1)), 6).alias("share"),
+    )
+
+
+def p10_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Hidden length limits of each source."""
+    return truncation.hidden_limits(_inspected(spark, d)).withColumn("share", F.round("share", 6))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p3_found, p3_collapsed, p6_found, p6_survivors, p8_ids, p8_lengths, p9_found, p9_items, p10_found, p10_sources, p10_limits)
+}
 SQL: dict[str, str] = {}
