@@ -74,54 +74,83 @@ class Index:
         self.block_max = self.weight.reshape(len(self.term), self.blocks, BLOCK).max(axis=2) if n else np.zeros((0, 0), np.float32)
         # the least score that a passage with a run of the item has: no passage with a run is missed
         self.least = np.full(self.blocks * BLOCK, np.inf, dtype=np.float32)
-        self.runs: list[set[tuple[str, ...]]] = []
+        self.runs: list[set[tuple[int, ...]]] = []
         for k, (_, w) in enumerate(kept):
             grams = {tuple(w[j : j + run]) for j in range(len(w) - run + 1)}
-            self.runs.append(grams)
+            self.runs.append({tuple(self.term[t] + 1 for t in g) for g in grams})
             self.least[k] = min(sum(float(self.weight[self.term[t], k]) for t in set(g)) for g in grams) * 0.9999 - 1e-4
+        every = {r for runs in self.runs for r in runs}
+        self.hashes = np.array(sorted({int(self._run_hashes(np.array(r, dtype=np.uint64))[0]) for r in every}), dtype=np.uint64)
         self.block_least = self.least.reshape(self.blocks, BLOCK).min(axis=1) if n else np.zeros(0, np.float32)
 
-    def candidates(self, passages: list[list[int]]) -> Iterator[tuple[int, int]]:
-        """(passage, item) of all pairs with a score of at least the item's threshold.
+    def candidates(self, terms: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passages and items of all pairs with a score of at least the item's threshold.
 
-        Passages are lists of distinct term numbers. A block whose terms' maxima sum to less than the
-        least threshold of the block is skipped whole; only the others have their items scored.
+        ``terms`` are the distinct term numbers of one passage after the other, ``starts`` where each begins;
+        none is empty. A block whose terms' maxima sum to less than the least threshold of the block is
+        skipped whole for a passage; only the items of the others are scored.
         """
-        sizes = np.array([len(p) for p in passages])
-        some = np.flatnonzero(sizes)
-        if not len(some) or not self.blocks:
-            return
-        terms = np.concatenate([np.array(passages[k], dtype=np.int64) for k in some])
-        starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+        if not self.blocks or not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         bounds = np.add.reduceat(self.block_max[terms], starts, axis=0)
-        for p, b in zip(*np.nonzero(bounds >= self.block_least)):
-            s = starts[p]
-            items = slice(b * BLOCK, (b + 1) * BLOCK)
-            scores = self.weight[terms[s : s + sizes[some[p]]], items].sum(axis=0)
-            for k in np.flatnonzero(scores >= self.least[items]):
-                yield int(some[p]), int(b * BLOCK + k)
+        lengths = np.diff(np.append(starts, len(terms)))
+        passages, items = [], []
+        for b in range(self.blocks):
+            left = np.flatnonzero(bounds[:, b] >= self.block_least[b])
+            if not len(left):
+                continue
+            n = lengths[left]
+            firsts = np.cumsum(n) - n
+            at = np.repeat(starts[left] - firsts, n) + np.arange(n.sum())
+            block = slice(b * BLOCK, (b + 1) * BLOCK)
+            scores = np.add.reduceat(self.weight[terms[at], block], firsts, axis=0)
+            p, k = np.nonzero(scores >= self.least[block])
+            passages.append(left[p])
+            items.append(k + b * BLOCK)
+        return np.concatenate(passages or [np.zeros(0, np.int64)]), np.concatenate(items or [np.zeros(0, np.int64)])
+
+    def _run_hashes(self, ids: np.ndarray) -> np.ndarray:
+        """Hash of the run that starts at each word; unknown words are 0."""
+        n = len(ids) - self.run + 1
+        out = np.zeros(max(0, n), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(self.run):
+                out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k : n + k] if n > 0 else out
+        return out
 
     def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
-        """(text number, item id) of all leaks: candidates of each passage, verified word by word."""
-        owners: list[int] = []
-        places: list[list[str]] = []
-        queries: list[list[int]] = []
+        """(text number, item id) of all leaks: candidates of each passage, verified word by word.
+
+        Candidates whose passage has no run with the hash of any item's run are dropped first.
+        """
         step = PASSAGE - self.run + 1
         known = self.term
+        ids: list[int] = []
+        terms: list[int] = []
+        owners, begins, ends, starts = [], [], [], []
         for n, text in enumerate(texts):
-            w = words(text)
-            for at in range(0, max(1, len(w) - self.run + 1), step):
-                part = w[at : at + PASSAGE]
-                if len(part) >= self.run:
+            w = [known.get(t, -1) + 1 for t in words(text)]
+            for at in range(0, len(w) - self.run + 1, step):
+                part = set(w[at : at + PASSAGE])
+                part.discard(0)
+                if part:
                     owners.append(n)
-                    places.append(part)
-                    queries.append([known[t] for t in set(part) if t in known])
+                    begins.append(len(ids) + at)
+                    ends.append(len(ids) + min(at + PASSAGE, len(w)) - self.run + 1)
+                    starts.append(len(terms))
+                    terms += [t - 1 for t in part]
+            ids += w
+        passages, items = self.candidates(np.array(terms, dtype=np.int64), np.array(starts, dtype=np.int64))
+        hits = np.isin(self._run_hashes(np.array(ids, dtype=np.uint64)), self.hashes)
+        places = np.flatnonzero(hits)
+        first = np.searchsorted(places, np.array(begins, dtype=np.int64)[passages])
+        last = np.searchsorted(places, np.array(ends, dtype=np.int64)[passages])
+        runs = {int(j): tuple(ids[j : j + self.run]) for j in places}
         found = set()
-        for size in range(0, len(queries), 4096):
-            for p, k in self.candidates(queries[size : size + 4096]):
-                part, key = places[size + p], (owners[size + p], k)
-                if key not in found and any(tuple(part[j : j + self.run]) in self.runs[k] for j in range(len(part) - self.run + 1)):
-                    found.add(key)
+        for at in np.flatnonzero(last > first):
+            k = int(items[at])
+            if any(runs[int(j)] in self.runs[k] for j in places[first[at] : last[at]]):
+                found.add((owners[passages[at]], k))
         for n, k in sorted(found):
             yield n, int(self.ids[k])
 
