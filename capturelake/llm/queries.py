@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from capturelake.functions.address import address
 from capturelake.llm import duplicates, leakage, survivor, tokens, truncation
 from capturelake.llm.duplicates import Field
+from capturelake.llm.sql import SQL
 from capturelake.session import materialise, table
 
 #: Tables of problem 3, each with its id and the fields of its key.
@@ -94,8 +95,8 @@ def p10_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.hidden_limits(_inspected(spark, d)).withColumn("share", F.round("share", 6))
 
 
+__all__ = ["QUERIES", "SQL"]
 QUERIES = {
     f.__name__: f
     for f in (p3_found, p3_collapsed, p6_found, p6_survivors, p8_ids, p8_lengths, p9_found, p9_items, p10_found, p10_sources, p10_limits)
 }
-SQL: dict[str, str] = {}
