@@ -47,12 +47,13 @@ def falsy_coalesce(*columns: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes as ``B``, ``KB`` or ``MB`` with one decimal, or ``GB`` with two."""
+    """Bytes as ``B``, ``KB`` or ``MB`` with one decimal, or ``GB`` with two; halves go to the even digit."""
+    shown = lambda unit, power, digits: F.format_string(f"%.{digits}f {unit}", F.bround(n / 1024.0**power, digits))
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024.0))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / 1024.0**2))
-        .otherwise(F.format_string("%.2f GB", n / 1024.0**3))
+        .when(n < 1024**2, shown("KB", 1, 1))
+        .when(n < 1024**3, shown("MB", 2, 1))
+        .otherwise(shown("GB", 3, 2))
     )
 
 

@@ -182,12 +182,23 @@ def utc_text(seconds: Column) -> Column:
     return let(seconds.cast("long"), civil)
 
 
-def with_zone(df: DataFrame, source_column: str, sources: DataFrame, into: str = "_zone") -> DataFrame:
-    """``df`` with the zone of each row's source; NULL for an unknown source.
+#: Largest number of sources; it bounds the literal table of their zones.
+MAX_SOURCES = 5000
 
-    Letter case and outer blanks of the source name do not count. ``sources`` is the fixed table of
-    a few sources (archive_sources, 11 rows), so it is broadcast.
+
+def zone_of(source: Column, sources: DataFrame) -> Column:
+    """Zone of a source's name; NULL for an unknown source.
+
+    Letter case and outer blanks of the name do not count. ``sources`` is a fixed table of a few sources
+    (archive_sources, 11 rows); it becomes a literal map, and more than ``MAX_SOURCES`` rows are an error.
     """
-    key = lambda c: F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+\z", ""))
-    zones = sources.select(key(F.col("source")).alias("_source"), F.col("zone").alias(into)).dropDuplicates(["_source"])
-    return df.join(F.broadcast(zones), key(F.col(source_column)) == F.col("_source"), "left").drop("_source")
+    rows = sources.select("source", "zone").limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    zones: dict[str, str] = {}
+    for name, zone in sorted((r["source"].strip().lower(), r["zone"]) for r in rows if r["source"] is not None and r["zone"] is not None):
+        zones.setdefault(name, zone)
+    key = F.lower(F.regexp_replace(source, r"^[\s\u00a0]+|[\s\u00a0]+\z", ""))
+    if not zones:
+        return F.lit(None).cast("string")
+    return F.element_at(F.create_map(*[F.lit(x) for kv in zones.items() for x in kv]), key)

@@ -8,6 +8,7 @@ from urllib.parse import urljoin as _urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Extension to category, in order of precedence; an extension belongs to the first category that lists it.
 CATEGORIES = (
@@ -41,7 +42,7 @@ def path(url: Column) -> Column:
 
 def _bare_host(url: Column) -> Column:
     """What stands after the last ``//`` and before the next slash or question mark."""
-    return F.substring_index(F.substring_index(F.substring_index(url, "//", -1), "/", 1), "?", 1)
+    return F.substring_index(F.substring_index(F.element_at(F.split(url, "//"), -1), "/", 1), "?", 1)
 
 
 def surt(url: Column) -> Column:
@@ -105,7 +106,7 @@ def resolve(url: Column, base: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def urljoin(base: pd.Series, url: pd.Series) -> pd.Series:
     """RFC 3986 resolution, with dot segments; NULL if either is NULL or not parseable."""
 

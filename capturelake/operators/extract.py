@@ -14,6 +14,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capturelake.functions import urls
 
@@ -321,21 +322,26 @@ def embeds(page: str | None, base: str | None) -> list[str]:
     return list(seen)
 
 
-@F.pandas_udf("array<struct<url:string,text:string,rel:string>>")
+# types are objects, not texts: a worker process that imports this module has no session to parse them
+def _rows(*names: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+
+@F.pandas_udf(_rows("url", "text", "rel"))
 def page_links_udf(page: pd.Series) -> pd.Series:
     return page.map(page_links)
 
 
-@F.pandas_udf("array<struct<url:string,extension:string,category:string,found_via:string>>")
+@F.pandas_udf(_rows("url", "extension", "category", "found_via"))
 def file_links_udf(page: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([file_links(p, b) for p, b in zip(page, base)], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def listing_files_udf(page: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([listing_files(p, b) for p, b in zip(page, base)], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def embeds_udf(page: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([embeds(p, b) for p, b in zip(page, base)], dtype=object)

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of a text that are indexed: its letters and digits, in lower case.
 _TOKEN = r"(?U)[^\p{L}\p{N}]+"
@@ -88,7 +89,7 @@ def stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_udf(word: pd.Series) -> pd.Series:
     return word.map(lambda w: None if w is None else stem(w))
 

@@ -24,7 +24,7 @@ def sparkline_map(captures: DataFrame) -> DataFrame:
 def fill_years(line: DataFrame) -> DataFrame:
     """The sparkline with a row for each year between a domain's first and last; 0 captures in the gaps."""
     spans = line.groupBy("domain").agg(F.min("year").cast("int").alias("a"), F.max("year").cast("int").alias("b"))
-    years = spans.select("domain", F.explode(F.sequence("a", "b")).cast("string").alias("year"))
+    years = spans.select("domain", F.explode(F.sequence("a", "b")).alias("y")).select("domain", F.lpad(F.col("y").cast("string"), 4, "0").alias("year"))
     return years.join(line, ["domain", "year"], "left").select("domain", "year", F.coalesce("captures", F.lit(0)).alias("captures"))
 
 

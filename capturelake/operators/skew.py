@@ -119,8 +119,15 @@ def fragment_replicate_join(
     if how not in ("inner", "left"):
         raise ValueError("how is inner or left")
     plan = plan or plan_loads(left, keys)
-    right = right.select(*[c for c in right.columns if c in keys or c not in left.columns])
-    return fragment(left, plan, spread).join(replicate(right, plan), ["_task", *keys], how).drop("_task")
+    others = [c for c in right.columns if c not in left.columns]
+    names = [f"key{i}" for i in range(len(keys))]
+    own = LoadPlan(tuple(names), plan.tasks, plan.total, plan.heavy, plan.buckets, plan.loads)
+    # rows travel as one column each, so that no column name of theirs can clash with those of the plan
+    pick = lambda df, row, columns: df.select(F.struct(*columns).alias(row), *[F.col(k).alias(n) for k, n in zip(keys, names)])
+    l_rows = pick(left, "left_row", left.columns).withColumn("spread", F.xxhash64(*[F.col(f"left_row.`{c}`") for c in spread]))
+    r_rows = pick(right, "right_row", others or keys)
+    joined = fragment(l_rows, own, ["spread"]).join(replicate(r_rows, own), ["_task", *names], how)
+    return joined.select("left_row.*", *[F.col(f"right_row.`{c}`").alias(c) for c in others])
 
 
 def balanced_summary(

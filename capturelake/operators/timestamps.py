@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.functions.instants import utc_seconds, utc_text, with_zone
+from capturelake.functions.instants import utc_seconds, utc_text, zone_of
 
 
 def normalise_timestamps(
@@ -15,7 +15,6 @@ def normalise_timestamps(
 
     A text without a zone is clock time in the zone of the row's source. Rows are kept as they are,
     repeated rows too; a column called like ``into`` is replaced; an empty table gives an empty one.
-    The plan has no exchange: one projection over the scan and a broadcast of the fixed source table.
+    The plan is one projection over the scan, without join or exchange.
     """
-    zoned = with_zone(df.drop(into), source, sources, "_zone_of_source")
-    return zoned.withColumn(into, utc_text(utc_seconds(F.col(text), F.col("_zone_of_source")))).drop("_zone_of_source")
+    return df.withColumn(into, utc_text(utc_seconds(F.col(text), zone_of(F.col(source), sources))))

@@ -12,6 +12,7 @@ from capturelake.operators.orphans import Reference, orphan_counts, orphan_rows
 from capturelake.operators.skew import balanced_summary, fragment_replicate_join, plan_loads
 from capturelake.operators.timestamps import normalise_timestamps
 from capturelake.operators.widen import cells_of, widen
+from capturelake.plans.problem_sql import SQL
 from capturelake.session import table
 
 #: Smallest share of a table's rows, in percent, at which a domain dominates it.
@@ -101,6 +102,5 @@ def p7_periods(spark: SparkSession, d: str) -> DataFrame:
     return orphan_counts(_references(spark, d, periods=True))
 
 
+__all__ = ["QUERIES", "SQL"]
 QUERIES = {f.__name__: f for f in (p1_found, p1_domains, p1_shared_domains, p2_found, p4_found, p4_wide, p5_found, p7_found, p7_periods)}
-
-SQL: dict[str, str] = {}
