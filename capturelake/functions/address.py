@@ -117,7 +117,10 @@ def _from_plain(text: Column) -> Column:
             part(2).rlike(r"[^.:@]"), F.concat(part(1), F.lit("://"), host, _path(part(3)), _query(query_plus), tail)
         )
 
-    stripped = F.regexp_replace(F.regexp_replace(text, r"^[^a-z0-9]+", ""), _TAIL_MARKS, "")
+    bare = F.regexp_replace(text, r"^[^a-z0-9]+", "")
+    # a slash among the marks is one at the end of the path, unless there is a query
+    slashes = _TAIL_MARKS.replace("[", "[/", 1)
+    stripped = F.when(bare.contains("?"), F.regexp_replace(bare, _TAIL_MARKS, "")).otherwise(F.regexp_replace(bare, slashes, ""))
     return let(stripped, lambda t: F.when(t.rlike(r"^https?:/"), whole(t)))
 
 

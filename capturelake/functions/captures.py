@@ -138,4 +138,4 @@ def keyword_hits(page: Column, keyword: Column, context: int = 120) -> Column:
 def code_fence_body(text: Column) -> Column:
     """What stands inside a fenced block, else the trimmed text."""
     inner = F.regexp_extract(text, r"(?s)```[A-Za-z]*\s*\n?(.*?)```", 1)
-    return F.trim(F.when(text.contains("```"), inner).otherwise(text))
+    return F.regexp_replace(F.when(text.contains("```"), inner).otherwise(text), r"^\s+|\s+\z", "")

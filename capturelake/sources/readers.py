@@ -21,14 +21,14 @@ def cdx_text(spark: SparkSession, path: str, source: str = "cdx_import") -> Data
     a status or length that is no number. ``-`` stands for status 200, digest '' and length 0.
     """
     parts = F.split(F.trim(F.regexp_replace("value", r"^\s+|\s+\z", "")), r"\s+")
-    lines = spark.read.text(path).select(parts.alias("p")).filter((F.size("p") >= 7) & ~F.col("p")[0].startswith("#"))
+    lines = spark.read.text(path).select(parts.alias("p")).filter((F.size("p") >= 7) & ~F.get("p", F.lit(0)).startswith("#"))
 
     def number(k: int, default: int) -> Column:
-        return F.when(F.col("p")[k] == "-", F.lit(default)).otherwise(F.col("p")[k].try_cast("bigint"))
+        return F.when(F.get("p", F.lit(k)) == "-", F.lit(default)).otherwise(F.get("p", F.lit(k)).try_cast("bigint"))
 
-    text = lambda k: F.when(F.col("p")[k] == "-", "").otherwise(F.col("p")[k])
+    text = lambda k: F.when(F.get("p", F.lit(k)) == "-", "").otherwise(F.get("p", F.lit(k)))
     rows = lines.select(
-        urls.domain(F.col("p")[2]).alias("domain"), F.col("p")[2].alias("url"), F.col("p")[1].alias("timestamp"), number(4, 200).cast("int").alias("status_code"),
+        urls.domain(F.get("p", F.lit(2))).alias("domain"), F.get("p", F.lit(2)).alias("url"), F.get("p", F.lit(1)).alias("timestamp"), number(4, 200).cast("int").alias("status_code"),
         text(3).alias("mime_type"), number(6, 0).alias("content_length"), text(5).alias("digest"), F.lit(source).alias("source"),
     )
     return rows.filter(F.col("status_code").isNotNull() & F.col("content_length").isNotNull())
@@ -37,7 +37,7 @@ def cdx_text(spark: SparkSession, path: str, source: str = "cdx_import") -> Data
 def cdx_json(df: DataFrame, column: str = "json", query_url: str | None = None, source: str = "wayback") -> DataFrame:
     """Rows of JSON answers of the form ``[[header...],[row...]...]``, all strings; anything else has none."""
     table = F.from_json(F.col(column), "array<array<string>>")
-    rows = df.select(table.alias("t")).filter(F.size("t") > 1).select(F.col("t")[0].alias("h"), F.posexplode("t").alias("k", "r")).filter("k > 0")
+    rows = df.select(table.alias("t")).filter(F.size("t") > 1).select(F.get("t", F.lit(0)).alias("h"), F.posexplode("t").alias("k", "r")).filter("k > 0")
     named = rows.select(F.map_from_arrays(F.col("h"), F.slice(F.concat("r", F.array_repeat(F.lit(None).cast("string"), F.size("h"))), F.lit(1), F.size("h"))).alias("m"))
     fields = ("url", "original", "timestamp", "statuscode", "status_code", "mimetype", "mime_type", "length", "content_length", "digest")
     return normalise_records(named.select(*[F.element_at("m", f).alias(f) for f in fields]), query_url=query_url, source=source)
@@ -50,7 +50,7 @@ def cdxj(spark: SparkSession, path: str, domain: str | None = None, path_part: s
     """Rows of shard lines ``urlkey timestamp {json}``; with ``domain`` and ``path_part`` only of urls that hold them."""
     parts = F.split("value", " ", 3)
     rows = spark.read.text(path).select(parts.alias("p")).filter(F.size("p") == 3)
-    rows = rows.select(F.col("p")[0].alias("urlkey"), F.col("p")[1].alias("timestamp"), F.from_json(F.col("p")[2], _CDXJ).alias("r")).filter(F.col("r.url").isNotNull())
+    rows = rows.select(F.get("p", F.lit(0)).alias("urlkey"), F.get("p", F.lit(1)).alias("timestamp"), F.from_json(F.get("p", F.lit(2)), _CDXJ).alias("r")).filter(F.col("r.url").isNotNull())
     bare = urls.strip_scheme(F.lower(F.col("r.url")))
     if domain:
         rows = rows.filter(bare.contains(domain.lower()))

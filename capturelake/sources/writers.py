@@ -35,7 +35,7 @@ def cdx_lines(records: DataFrame, compat: bool = False) -> DataFrame:
 
 def write_cdx(records: DataFrame, path: str, compat: bool = False, single: bool = False) -> None:
     """Index text in order of url and timestamp: sorted ranges, each a file, or one file with ``single``; the header is a file's first line there."""
-    lines = cdx_lines(records, compat)
+    lines = cdx_lines(records, compat).select("url", "timestamp", "line")
     if single:
         header = records.sparkSession.createDataFrame([("", "", HEADER)], "url string, timestamp string, line string").withColumn("k", F.lit(0))
         rows = header.unionByName(lines.withColumn("k", F.lit(1)))
