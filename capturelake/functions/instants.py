@@ -116,7 +116,9 @@ def components(text: Column) -> Column:
             F.when(half == "", hour <= 23).otherwise(hour.between(1, 12)) & (number(4) <= 59) & (number(5) <= 59)
         )
         midnight = _days(year, month, day) * 86400
-        struct = lambda kind, local, zone: F.struct(F.lit(kind).alias("kind"), local.cast("long").alias("local"), zone.alias("zone"))
+        # all branches have nullable fields, so that their types are equal without a cast
+        nullable = lambda x: F.when(parts.isNotNull(), x)
+        struct = lambda kind, local, zone: F.struct(nullable(F.lit(kind)).alias("kind"), nullable(local.cast("long")).alias("local"), nullable(zone).alias("zone"))
         return (
             F.when(text_of(9) != "", struct("epoch", text_of(9), F.lit("UTC")))
             .when(text_of(10) != "", struct("epoch", F.floor(text_of(10).cast("long") / 1000), F.lit("UTC")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturelake.functions.instants import utc_seconds, utc_text
+from capturelake.session import once
 
 #: valid_to of the last version.
 OPEN_END = "99991231235959"
@@ -32,13 +33,10 @@ def version_history(
     out, repeated snapshots count once, snapshots of one second are taken in the order of their
     attribute. Times are 14-digit UTC texts.
     """
-    seconds = utc_seconds(F.col(time), F.lit("UTC"))
+    seconds = utc_seconds(F.col("_text"), F.lit("UTC"))
     value = F.lower(F.col(attribute))
-    snapshots = (
-        df.select(F.col(entity).alias("_e"), seconds.alias("_t"), value.alias("_a"))
-        .filter((F.col("_a") != "") & F.col("_e").isNotNull() & F.col("_t").isNotNull())
-        .withColumn("_block", F.floor(F.col("_t") / block_seconds))
-    )
+    known = df.filter((value != "") & F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), value.alias("_a"), F.col(time).alias("_text"))
+    snapshots = once(known, seconds, "_t").drop("_text").withColumn("_block", F.floor(F.col("_t") / block_seconds))
     blocks = snapshots.groupBy("_e", "_block").agg(F.array_sort(F.collect_set(F.struct("_t", "_a"))).alias("_snaps"))
 
     # presence bitmaps: a word of 64 snapshots for each entity, block and attribute

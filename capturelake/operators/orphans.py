@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.functions.address import id128
+from capturelake.session import let
 
 
 class Reference:
@@ -24,12 +25,12 @@ class Reference:
 
 def _keyed(df: DataFrame, key: list[Column], **more: Column) -> DataFrame:
     """128-bit identifiers of the keys in place of their texts."""
-    complete = reduce(Column.__and__, [k.isNotNull() for k in key])
-    a, b = id128(*[k.cast("string") for k in key])
-    # the presence test is on the key itself, so it is made before the texts are dropped
-    return df.select(F.when(complete, a).alias("k1"), F.when(complete, b).alias("k2"), *[c.alias(n) for n, c in more.items()]).filter(
-        F.col("k1").isNotNull()
-    )
+    texts = F.array(*[k.cast("string") for k in key])
+    complete = let(texts, lambda ks: F.when(~F.exists(ks, lambda k: k.isNull()), ks))
+    # the key and what else is wanted become columns in one step, since the key is made of the child's own columns
+    rows = df.select(*[c.alias(n) for n, c in more.items()], F.explode(F.filter(F.array(complete), lambda k: k.isNotNull())).alias("_key"))
+    a, b = id128(*[F.col("_key")[i] for i in range(len(key))])
+    return rows.select(a.alias("k1"), b.alias("k2"), *more)
 
 
 def _children(refs: list[Reference]) -> DataFrame:

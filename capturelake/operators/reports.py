@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions import urls
 from capturelake.functions.captures import month, year
+from capturelake.operators.numbering import numbered
 
 
 def sparkline(captures: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -161,14 +162,21 @@ def top_slice_counts(df: DataFrame, key: Column, order: list[Column], n: int = 5
 def samples_per_archive(hits: DataFrame, n: int = 5) -> DataFrame:
     """(archive, hits, sample): the first ``n`` hit ids of each archive. Only ``n`` rows per archive are collected."""
     w = Window.partitionBy("archive").orderBy("hit_id")
-    ranked = hits.select("archive", "hit_id").withColumn("k", F.row_number().over(w))
-    return ranked.groupBy("archive").agg(F.count(F.lit(1)).alias("hits"), F.sort_array(F.collect_list(F.when(F.col("k") <= n, F.col("hit_id")))).alias("sample"))
+    # the filter on the rank is applied in each task first, so few rows of a large archive are sorted in one place
+    first = hits.select("archive", "hit_id").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n)
+    samples = first.groupBy(F.col("archive").alias("a")).agg(F.sort_array(F.collect_list("hit_id")).alias("sample"))
+    counts = hits.groupBy("archive").agg(F.count(F.lit(1)).alias("hits"))
+    return counts.join(samples, F.col("archive").eqNullSafe(F.col("a"))).select("archive", "hits", "sample")
 
 
 def findings_log(discoveries: DataFrame) -> DataFrame:
     """(found_by, line_no, extension, url): the findings of each finder in order of extension and url."""
-    w = Window.partitionBy("found_by").orderBy("extension", "url", "discovery_id")
-    return discoveries.select("found_by", F.row_number().over(w).alias("line_no"), "extension", "url", "discovery_id")
+    fields = ("found_by", "extension", "url", "discovery_id")
+    lines = numbered(discoveries.select(*fields), [F.col(c) for c in fields], "_n")
+    # numbers run through all finders; a finder's lines start where its smallest number is
+    starts = lines.groupBy(F.col("found_by").alias("_f")).agg(F.min("_n").alias("_start"))
+    placed = lines.join(starts, F.col("found_by").eqNullSafe(F.col("_f")))
+    return placed.select("found_by", (F.col("_n") - F.col("_start") + 1).cast("int").alias("line_no"), "extension", "url", "discovery_id")
 
 
 def round_robin(df: DataFrame, buckets: int, order: list[Column]) -> DataFrame:
@@ -177,6 +185,4 @@ def round_robin(df: DataFrame, buckets: int, order: list[Column]) -> DataFrame:
     The order is cut into ranges, numbered within each, and the ranges' sizes (one row per task) are added
     up, so that no task sees all rows.
     """
-    from capturelake.operators.numbering import numbered
-
     return numbered(df, order, "_n").withColumn("bucket", (F.col("_n") % buckets).cast("int")).drop("_n")

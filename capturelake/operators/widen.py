@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.functions.values import clean_value, key_name, to_bigint, to_boolean, to_double, to_timestamp
+from capturelake.session import let, once
 
 #: Largest number of attributes, which bounds the broadcast attribute table and the rows of an entity.
 MAX_ATTRIBUTES = 4096
@@ -38,21 +39,22 @@ def filled_cells(df: DataFrame, attributes: DataFrame, *, entity: str, key: str,
     names = [r["attr"] for r in attributes.select("attr").distinct().orderBy("attr").collect()]
     index = F.array_position(F.array(*[F.lit(a) for a in names]), F.col("attr")).cast("int") - 1
     known = attributes.withColumn("_ix", index).dropDuplicates(["_name"])
-    rows = df.select(
-        F.col(entity).alias("_entity"), key_name(F.col(key)).alias("_name"), clean_value(F.col(value)).alias("_v"), F.col(order).alias("_order")
-    ).filter(F.col("_entity").isNotNull() & F.col("_v").isNotNull())
+    rows = df.filter(F.col(entity).isNotNull()).select(
+        F.col(entity).alias("_entity"), key_name(F.col(key)).alias("_name"), F.col(value).alias("_raw"), F.col(order).alias("_order")
+    )
+    cleaned = once(rows.join(F.broadcast(known), "_name"), clean_value(F.col("_raw")), "_v")
     v, kind = F.col("_v"), F.col("value_type")
-    typed = rows.join(F.broadcast(known), "_name").select(
-        "_entity", "_ix", "_order", "_v",
+    buffers = [b[2] for b in _BUFFERS.values()]
+    typed = F.struct(
         F.when(kind == "string", v).alias("v_string"),
         F.when(kind == "bigint", to_bigint(v)).alias("v_bigint"),
         F.when(kind == "double", to_double(v)).alias("v_double"),
         F.when(kind == "boolean", to_boolean(v)).alias("v_boolean"),
         F.when(kind == "timestamp", to_timestamp(v)).alias("v_timestamp"),
-    )
-    buffers = [b[2] for b in _BUFFERS.values()]
-    readable = typed.filter(F.coalesce(*[F.when(F.col(c).isNotNull(), 1) for c in buffers]).isNotNull())
-    best = readable.groupBy("_entity", "_ix").agg(F.max_by(F.struct(*buffers), F.struct("_order", "_v")).alias("_best"))
+    )
+    filled = let(typed, lambda t: F.when(F.coalesce(*[F.when(t[c].isNotNull(), 1) for c in buffers]).isNotNull(), t))
+    readable = once(cleaned.select("_entity", "_ix", "_order", "_v", "value_type"), filled, "_typed")
+    best = readable.groupBy("_entity", "_ix").agg(F.max_by("_typed", F.struct("_order", "_v")).alias("_best"))
     return best.select("_entity", "_ix", *[F.col(f"_best.{c}").alias(c) for c in buffers])
 
 

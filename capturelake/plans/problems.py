@@ -10,10 +10,10 @@ from capturelake.functions.instants import utc_seconds, utc_text
 from capturelake.operators.history import version_history
 from capturelake.operators.orphans import Reference, orphan_counts, orphan_rows
 from capturelake.operators.skew import balanced_summary, fragment_replicate_join, plan_loads
-from capturelake.operators.timestamps import normalise_timestamps
+from capturelake.operators.timestamps import normalise_timestamps, to_be_normalised
 from capturelake.operators.widen import cells_of, widen
 from capturelake.plans.problem_sql import SQL
-from capturelake.session import table
+from capturelake.session import spread, table
 
 #: Smallest share of a table's rows, in percent, at which a domain dominates it.
 DOMINANT_PERCENT = 3
@@ -22,8 +22,9 @@ DOMINANT_PERCENT = 3
 def _domains(spark: SparkSession, d: str, times: bool) -> DataFrame:
     parts = []
     for name in ("cdx_records", "records"):
-        df = table(spark, d, name)
+        df = table(spark, d, name).select("domain", "url", "timestamp", "source")
         if times:
+            df = spread(df)
             df = normalise_timestamps(df, table(spark, d, "archive_sources"))
         else:
             df = df.withColumn("utc_time", F.lit(None).cast("string"))
@@ -57,7 +58,7 @@ def p1_shared_domains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return version_history(table(spark, d, "version_chains")).select("url", "valid_from", "valid_to")
+    return version_history(spread(table(spark, d, "version_chains").select("url", "timestamp", "content_hash"))).select("url", "valid_from", "valid_to")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +67,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_wide(spark: SparkSession, d: str) -> DataFrame:
     """One row per record id, one typed column per attribute."""
-    return widen(table(spark, d, "metadata"), table(spark, d, "meta_attributes"))
+    return widen(spread(table(spark, d, "metadata").select("meta_id", "record_id", "key", "value")), table(spark, d, "meta_attributes"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +75,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, row_id, source in (("cdx_records", "id", "source"), ("records", "id", "source"), ("archive_hits", "hit_id", "archive")):
         df = table(spark, d, name).select(F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"), F.col(source).alias("source"), "timestamp")
-        parts.append(normalise_timestamps(df, sources).filter(F.col("utc_time") != F.col("timestamp")))
+        parts.append(to_be_normalised(spread(df), sources))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("table_name", "row_id", "utc_time")
 
 
@@ -86,9 +87,10 @@ def _references(spark: SparkSession, d: str, periods: bool = False) -> list[Refe
     text = lambda c: F.nullif(F.col(c), F.lit(""))
     month = _month if periods else (lambda _: None)
     records, chains = table(spark, d, "records"), table(spark, d, "version_chains")
+    links, pages = spread(table(spark, d, "link_graph").select("id", "target_url", "source_timestamp")), spread(records.select("url"))
     return [
         Reference("metadata", table(spark, d, "metadata"), "meta_id", [F.col("record_id")], records, [F.col("id")], month("timestamp")),
-        Reference("link_graph", table(spark, d, "link_graph"), "id", [address(F.col("target_url"))], records, [address(F.col("url"))], month("source_timestamp")),
+        Reference("link_graph", links, "id", [address(F.col("target_url"))], pages, [address(F.col("url"))], month("source_timestamp")),
         Reference("version_chains", chains, "version_id", [F.col("url"), F.lower(text("prev_hash"))], chains, [F.col("url"), F.lower(text("content_hash"))], month("timestamp")),
     ]
 

@@ -45,6 +45,25 @@ def task_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files give fewer splits than there are cores; else as it is.
+
+    For costly projections over few or small files. Tables of many splits, as all large ones are, are read
+    without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with ``value`` as ``name``, without the rows where it is NULL; a costly value is evaluated once.
+
+    A projection with a filter on it would compute the value for both, and again for each use further up;
+    as a generated row it is neither copied nor pushed down.
+    """
+    return df.withColumn(name, F.explode(F.filter(F.array(value), lambda x: x.isNotNull())))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
