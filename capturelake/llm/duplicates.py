@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.functions.address import id128
-from capturelake.session import materialise
+from capturelake.session import materialise, once
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ def dictionary(values: DataFrame, canonical: Callable[[Column], Column]) -> Data
     needed and a recomputed task gives the same identifiers; for 10^11 values the chance of any
     collision is below 1e-16. Values without a canonical form are not in the dictionary.
     """
-    forms = values.distinct().withColumn("_form", canonical(F.col("_value"))).filter(F.col("_form").isNotNull())
+    forms = once(values.distinct(), canonical(F.col("_value")), "_form")
     c1, c2 = id128(F.col("_form"))
     return forms.select("_value", c1.alias("_c1"), c2.alias("_c2"))
 

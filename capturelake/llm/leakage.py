@@ -22,9 +22,9 @@ PASSAGE = 64
 #: Items of a block, for which one upper bound per term is kept.
 BLOCK = 8
 #: Items of one index; more items are searched index by index, so that what is broadcast stays bounded.
-MAX_ITEMS = 512
-#: Characters of the items of one index.
-MAX_CHARS = 4 << 20
+MAX_ITEMS = 256
+#: Characters of the items of one index: at most some 45,000 terms, so its weights take up to 46 MB.
+MAX_CHARS = 256 << 10
 
 _K1, _B = 1.2, 0.75
 
@@ -178,7 +178,7 @@ def leaks(
     against a BM25 index of the items. An item's threshold is the least score which a passage with a run
     of it can have, so that the retrieval loses nothing, and candidates are verified word by word. Items
     shorter than ``run`` words, and NULL or empty texts, have no leaks; equal pairs come out once per row.
-    The index is broadcast in groups of at most 512 items and 4 million characters. There is no exchange.
+    The index is broadcast in groups of at most 256 items and 262,144 characters. There is no exchange.
     """
     id_type = documents.schema[row_id].dataType.simpleString()
     rows = documents.select(row_id, text)

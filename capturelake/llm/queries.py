@@ -11,7 +11,7 @@ from capturelake.functions.address import address
 from capturelake.llm import duplicates, leakage, survivor, tokens, truncation
 from capturelake.llm.duplicates import Field
 from capturelake.llm.sql import SQL
-from capturelake.session import materialise, table
+from capturelake.session import materialise, spread, table
 
 #: Tables of problem 3, each with its id and the fields of its key.
 ADDRESSED = {
@@ -39,7 +39,7 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return survivor.prepare(table(spark, d, "archive_hits"), table(spark, d, "archive_sources"))
+    return survivor.prepare(spread(table(spark, d, "archive_hits")), table(spark, d, "archive_sources"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,21 +51,25 @@ def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(_hits(spark, d))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents"))
+    return tokens.encode(_texts(spark, d))
 
 
 def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and characters of the corpus by source."""
     docs = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("chars"))
     return (
-        tokens.encode(table(spark, d, "documents")).select("doc_id", F.size("ids").alias("n"))
+        tokens.encode(_texts(spark, d)).select("doc_id", F.size("ids").alias("n"))
         .join(docs, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.sum("chars").alias("chars"))
     )
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaks(_texts(spark, d), table(spark, d, "eval_items"))
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +78,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _inspected(spark: SparkSession, d: str) -> DataFrame:
-    return materialise(truncation.inspect(table(spark, d, "documents")), "endings")
+    return materialise(truncation.inspect(_texts(spark, d)), "endings")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
