@@ -122,9 +122,8 @@ def components(text: Column) -> Column:
         return (
             F.when(text_of(9) != "", struct("epoch", text_of(9), F.lit("UTC")))
             .when(text_of(10) != "", struct("epoch", F.floor(text_of(10).cast("long") / 1000), F.lit("UTC")))
-            .when(~good_date, None)
-            .when(text_of(3) == "", struct("date", midnight, F.lit("")))
-            .when(good_time, struct("time", midnight + clock * 3600 + number(4) * 60 + number(5), text_of(8)))
+            .when(good_date & (text_of(3) == ""), struct("date", midnight, F.lit("")))
+            .when(good_date & good_time, struct("time", midnight + clock * 3600 + number(4) * 60 + number(5), text_of(8)))
         )
 
     parts = F.split(F.regexp_replace(text, pattern, order), _SEP)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.functions.address import id128
-from capturelake.session import let
 
 
 class Reference:
@@ -25,12 +24,12 @@ class Reference:
 
 def _keyed(df: DataFrame, key: list[Column], **more: Column) -> DataFrame:
     """128-bit identifiers of the keys in place of their texts."""
-    texts = F.array(*[k.cast("string") for k in key])
-    complete = let(texts, lambda ks: F.when(~F.exists(ks, lambda k: k.isNull()), ks))
-    # the key and what else is wanted become columns in one step, since the key is made of the child's own columns
-    rows = df.select(*[c.alias(n) for n, c in more.items()], F.explode(F.filter(F.array(complete), lambda k: k.isNotNull())).alias("_key"))
+    names = [f"_k{i}" for i in range(len(key))]
+    rows = df.select(*[c.alias(n) for n, c in more.items()], *[k.cast("string").alias(n) for k, n in zip(key, names)])
+    # rows with a NULL in the key go by a generator: a filter would be pushed down and compute the key again
+    complete = F.filter(F.array(F.array(*names)), lambda ks: ~F.exists(ks, lambda k: k.isNull()))
     a, b = id128(*[F.col("_key")[i] for i in range(len(key))])
-    return rows.select(a.alias("k1"), b.alias("k2"), *more)
+    return rows.select(*more, F.explode(complete).alias("_key")).select(a.alias("k1"), b.alias("k2"), *more)
 
 
 def _children(refs: list[Reference]) -> DataFrame:
