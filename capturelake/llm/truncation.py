@@ -70,7 +70,20 @@ def hidden_limits(inspected: DataFrame) -> DataFrame:
 
 
 _TAIL_BLANKS = re.compile("[\\s\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\x00-\x1f\x7f]+\\Z")
-_ENDS = re.compile("[.!?\u2026\u3002\uff01\uff1f\uff61\u0964\u061f\u06d4]['\"\u2019\u201d\u00bb\u203a\u300d\u300f)\\]}*_]*\\Z")
+_ENDS = re.compile(
+    "[.!?\u2026\u3002\uff01\uff0e\uff1f\uff61\u0964\u061f\u06d4\u0f0d\u0f0e\u104a\u104b\u17d4\u17d5]"
+    "['\"\u2019\u201d\u00bb\u203a\u3009\u300b\u300d\u300f\u3011\u3015\uff09\uff3d\uff5d\uff63)\\]}*_]*\\Z"
+)
+#: Letters of scripts that put no blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han.
+_UNSPACED = {
+    "thai": "\u0e01-\u0e4e", "lao": "\u0e81-\u0edf", "tibetan": "\u0f40-\u0fbc", "burmese": "\u1000-\u103f", "khmer": "\u1780-\u17d3",
+    "hiragana": "\u3041-\u309f", "katakana": "\u30a1-\u30ff\u31f0-\u31ff\uff66-\uff9f", "han": "\u3005-\u3007\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af",
+}
+_UNSPACED_ANY = re.compile(f"[{''.join(_UNSPACED.values())}]")
+_UNSPACED_ONE = re.compile("(?:" + "|".join(f"[{x}\u30fb\u30fc]+" for x in _UNSPACED.values()) + ")\\Z")
+#: Longest single word: of a script with blanks, of one script without blanks, and of a mixture of these.
+WORD_SPACED, WORD_ONE_SCRIPT, WORD_MIXED = 64, 12, 6
+_ADDRESS_OR_HASH = re.compile(r"(?:(?:https?|ftp)://[!-~]+|[0-9a-f]+)\Z", re.I)
 _SEPARATOR = re.compile(r"(?:[-=_*~#+.\u2500-\u257f\u2014]\s?){3,}\Z")
 _FOOTERS = re.compile(
     r"(?:(?:page|seite|p\u00e1gina) \d+ (?:of|de|von|/) ?\d+|(?:\(c\)|\u00a9|copyright)\s.*\d{4}.*|\^ ?top|(?:back|return|zur\u00fcck|volver|voltar|retour) (?:to|zu|zum|a|ao|au)\b.{0,40}"
@@ -90,6 +103,16 @@ def _shape(token: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", token))
 
 
+def _single_word(end: str) -> bool:
+    """Whether a text is one word; a run without blanks that is too long for a word, or holds a sentence's end, is not."""
+    if len(end.split()) != 1:
+        return False
+    word = end.strip()
+    if not _UNSPACED_ANY.search(word):
+        return len(word) <= WORD_SPACED or bool(_ADDRESS_OR_HASH.match(word))
+    return len(word) <= (WORD_ONE_SCRIPT if _UNSPACED_ONE.match(word) else WORD_MIXED) and not re.search("[\u3002\uff01\uff0e\uff1f\uff61!?]", word[:-1])
+
+
 def _mended(text: str) -> str:
     """The end of a text that was decoded with a wrong code page, decoded again; any other text as it is."""
     tail = text[-64:]
@@ -131,8 +154,8 @@ def ending(text: str | None) -> tuple[str, str]:
         return "cut", template
     if _SEPARATOR.match(last) or _FOOTERS.match(last):
         return "complete", template
-    if len(end.split()) == 1:
-        return ("cut" if end[-1] in ",;:" and len(end) > 1 else "complete"), template
+    if _single_word(end):
+        return ("cut" if end[-1] in ",;:\u3001\uff0c\uff1a\uff1b" and len(end) > 1 else "complete"), template
     if _LOG.match(last) or _LISTING.match(last):
         return "complete", template
     above = lines[-2] if len(lines) > 1 else ""

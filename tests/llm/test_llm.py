@@ -160,6 +160,18 @@ def test_endings(text, want):
     assert truncation.ending(text)[0] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("カウンターは2で止まり、サーバーは応答しなくなりました。カウンターは19で止", "open"), ("一覧には6件の版がありますが、開ける", "open"), ("古い文です。次", "open"), ("一覧には6件の版があります（開けるのは一つだけです。）", "complete"),
+        ("プライバシーポリシー", "complete"), ("お問い合わせ", "complete"), ("古い、", "cut"), ("ဒီစာမျက်နှာသည်ဟောင်းသည်။", "complete"), ("หน้านี้ถูกเก็บไว้เมื่อปีที่แล้วและยังเปิดได้", "open"), ("x" * 65, "open"), ("Donaudampfschifffahrt", "complete"),
+        ("http://x.test/" + "a/" * 60, "complete"), ("0f" * 64, "complete"), ("index.html", "complete"), ("🕸️", "complete"),
+    ],
+)
+def test_single_words(text, want):
+    assert truncation.ending(text)[0] == want
+
+
 def test_measures(spark):
     text = 'a"b\\<&>\n\té😀'
     import html
