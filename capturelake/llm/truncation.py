@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ MIN_AT_LIMIT = 5
 MIN_SHARE = 0.02
 #: A limit in bytes may leave the last character out, which has up to four bytes.
 BYTE_SLACK = 3
-#: A closing line that at least this share of all texts end with, and at least so many texts, is a footer.
+#: A closing line that at least this share of all distinct texts end with, and at least so many of them, is a footer.
 FOOTER_SHARE, FOOTER_TEXTS = 0.005, 20
 
 
@@ -133,71 +134,86 @@ def ending(text: str | None) -> tuple[str, str]:
     verdict: ``blank``; ``complete``; ``cut``: an open tag, or a line of a log or listing that lacks
     the end which the lines above it have, or a sentence that stops in its middle; ``open``: the last line has no
     end of a sentence and is no known footer, which is a cut unless many texts close with that line.
-    template is the last line with numbers and names taken out.
+    template is the whole last line with numbers and names taken out.
     """
+    return _judged(text)[:2]
+
+
+def _judged(text: str | None) -> tuple[str, str, str]:
+    """(verdict, template, what stands above the last line) of a text; the last is given for open endings only."""
     if text is None:
-        return "blank", ""
+        return "blank", "", ""
     end = _TAIL_BLANKS.sub("", text)
     if not end:
-        return "blank", ""
+        return "blank", "", ""
     if any(c in end[-16:] for c in "\u00c3\u00c2\u00e2\u00e3\u00e5\u00e6\u00e7\u00e8\u00e9\ufffd\u20ac"):
         end = _TAIL_BLANKS.sub("", _mended(end)) or end
     if _OPEN_TAG.search(end[-4096:]) and not end.endswith("<>"):
-        return "cut", ""
+        return "cut", "", ""
     lines = [x.strip() for x in re.split(r"[\r\n\x0b\x0c\u2028\u2029]+", end[-16384:]) if x.strip()]
     last = lines[-1]
-    template = re.sub(r"\b[A-Z][a-z]{3,}\b", "A", re.sub(r"\d+", "9", last))[:80]
+    template = re.sub(r"\b[A-Z][a-z]{3,}\b", "A", re.sub(r"\d+", "9", last))
     head = text[:2048].lower()
     if "<html" in head or "<body" in head:
         if _CLOSED_PAGE.search(end) or end.endswith(">"):
-            return "complete", template
-        return "cut", template
+            return "complete", template, ""
+        return "cut", template, ""
     if _SEPARATOR.match(last) or _FOOTERS.match(last):
-        return "complete", template
+        return "complete", template, ""
     if _single_word(end):
-        return ("cut" if end[-1] in ",;:\u3001\uff0c\uff1a\uff1b" and len(end) > 1 else "complete"), template
+        return ("cut" if end[-1] in ",;:\u3001\uff0c\uff1a\uff1b" and len(end) > 1 else "complete"), template, ""
     if _LOG.match(last) or _LISTING.match(last):
-        return "complete", template
+        return "complete", template, ""
     above = lines[-2] if len(lines) > 1 else ""
     if above and (_LOG.match(above) or _LISTING.match(above)):
         first = _LOG_START.match(last)
         if first or len(last.split()) < len(above.split()) and (_LISTING.match(above) or not _ENDS.search(last)):
-            return "cut", template
+            return "cut", template, ""
     if len(lines) > 2 and len(above.split()) > 2:
         a, b, c = (x.split() for x in lines[-3:])
         if len(a) == len(b) and [_shape(x) for x in (a[0], a[-1])] == [_shape(x) for x in (b[0], b[-1])] and re.search(r"\d", a[-1] + a[0]):
             if len(c) == len(b) and _shape(c[-1]) == _shape(b[-1]):
-                return "complete", template
+                return "complete", template, ""
     if _ENDS.search(end):
-        return ("cut" if _SHORT_END.search(end[-200:]) else "complete"), template
-    return "open", template
+        return ("cut" if _SHORT_END.search(end[-200:]) else "complete"), template, ""
+    return "open", template, end[: len(end) - len(last)]
+
+
+def _key(text: str) -> int:
+    """64 bits that identify a text apart from the kind of its blanks."""
+    return int.from_bytes(hashlib.blake2b(" ".join(text.split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def inspect(df: DataFrame, *, text: str = "text", row_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(row_id, source, lengths, verdict, template) of each row, from its whole text."""
+    """(row_id, source, lengths, text_key, verdict, template, above) of each row, from its whole text.
+
+    text_key, template and above identify the text and, for open endings, its last line and what stands above it.
+    """
     id_type = df.schema[row_id].dataType.simpleString()
+    names = ["row_id", "source", "lengths", "text_key", "verdict", "template", "above"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = [ending(t) for t in b.column(3).to_pylist()]
-            verdicts = [pa.array([x[k] for x in seen], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *verdicts], names=["row_id", "source", "lengths", "verdict", "template"])
+            seen = [_judged(t) for t in b.column(4).to_pylist()]
+            keys = [pa.array([_key(x[k]) if x[0] == "open" else None for x in seen], pa.int64()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([x[0] for x in seen], pa.string()), *keys], names=names)
 
     lengths = F.array(*[measures(F.col(text))[m].cast("long") for m in MEASURES])
-    rows = df.select(F.col(row_id).alias("row_id"), F.col(source).alias("source"), lengths.alias("lengths"), text)
-    return rows.mapInArrow(look, f"row_id {id_type}, source string, lengths array<bigint>, verdict string, template string")
+    rows = df.select(F.col(row_id).alias("row_id"), F.col(source).alias("source"), lengths.alias("lengths"), F.xxhash64(text).alias("text_key"), text)
+    return rows.mapInArrow(look, f"row_id {id_type}, source string, lengths array<bigint>, text_key bigint, verdict string, template bigint, above bigint")
 
 
 def judge(inspected: DataFrame) -> DataFrame:
     """(row_id, source, cut, at_limit) of each text that is not blank, from the result of ``inspect``, written as a table.
 
     Limits are found from the lengths of all texts. An ending that is open is a footer if enough of all
-    texts close with the same line and the text is not at a limit of its source; else the text is cut.
+    distinct texts close with the same whole line under different ones and the text is not at a limit of its source;
+    else the text is cut. Copies of one text count once there, and so do all texts of that one line.
     A complete ending at a limit is no cut, it may be a text that was padded. NULL and blank texts do
     not come out; repeated rows come out as often as they are stored; an empty table gives none.
     """
     seen = inspected.filter("verdict <> 'blank'")
-    total = seen.count()
+    total = seen.agg(F.countDistinct("text_key")).first()[0]
     known = hidden_limits(inspected).select(
         F.col("source").alias("_source"), F.struct((F.array_position(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure"))).cast("int").alias("at"), "limit").alias("_limit")
     )
@@ -205,7 +221,7 @@ def judge(inspected: DataFrame) -> DataFrame:
     hit = lambda x: F.element_at(F.col("lengths"), x["at"]).between(x["limit"] - BYTE_SLACK, x["limit"])
     # at most 1 / FOOTER_SHARE lines can be that frequent, so they are few whatever the corpus
     footers = (
-        seen.filter("verdict = 'open'").groupBy(F.col("template").alias("_footer")).agg(F.count(F.lit(1)).alias("_n"))
+        seen.filter("verdict = 'open'").groupBy(F.col("template").alias("_footer")).agg(F.countDistinct("above").alias("_n"))
         .filter(F.col("_n") >= max(FOOTER_TEXTS, FOOTER_SHARE * total)).select("_footer")
     )
     rows = seen.join(limits, F.col("source").eqNullSafe(F.col("_source")), "left").join(F.broadcast(footers), F.col("template") == F.col("_footer"), "left")

@@ -206,3 +206,13 @@ def test_limits_and_verdicts(spark):
     assert cut == sorted(want) and len(judged) == len([1 for r in rows if r[2]])
     empty = materialise(truncation.inspect(df.limit(0)), "t")
     assert truncation.judge(empty).count() == 0 and truncation.hidden_limits(empty).count() == 0
+
+
+def test_copies_are_no_footers(spark):
+    opening = "This page is a mirror of the old archive, kept by volunteers since the host closed its doors "
+    rows = [(k, "a", f"Text number {'x' * k}a is here.\nA second line of it is" + ("." if k % 2 else " here")) for k in range(300)]  # footers: distinct texts
+    rows += [(1000 + k, "a", "The archive was saved.\nIts last line was cut in tra") for k in range(150)]  # copies of a cut text
+    rows += [(2000 + k, "a", opening + "and word after word" [: 4 + k % 15]) for k in range(60)]  # one page cut at different places
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    cut = {r["row_id"] for r in truncation.judge(materialise(truncation.inspect(df), "t")).collect() if r["cut"]}
+    assert cut == {i for i, _, _ in rows if i >= 1000}
