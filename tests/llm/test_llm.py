@@ -145,6 +145,23 @@ def test_leaks_random(spark, monkeypatch, seed):
     assert got == brute(docs, items, 13)
 
 
+def test_survivor_fields(spark, sources):
+    rows = [
+        (1, "http://x.test/q", "wayback", "20010101000000", 5, "200", None, "-", 0.2),
+        (2, "http://x.test/q/", "CRAWL", "2001", 0, "404", "a/b", "http://d.test/2", 0.9),
+        (3, "http://X.test/q", "nobody", "20020101000000", -1, "-", "", None, None),
+        (4, "http://x.test/r", None, "", None, None, None, None, None),
+        (5, "http://x.test/s", "wayback", "20010101000000", 1, None, "t/new", None, 0.5), (6, "http://x.test/s", "wayback", "20020101000000", 1, None, "t/old", None, 0.5),
+        (7, "http://x.test/t", "wayback", "2001", 1, None, "t/new", None, 0.9), (8, "http://x.test/t", "wayback", "2001", 1, None, "t/old", None, 0.1),
+    ]
+    df = spark.createDataFrame(rows, "hit_id long, url string, archive string, timestamp string, size long, status string, mimetype string, download_url string, confidence double")
+    built = {r["group_hit_id"]: r.asDict() for r in survivor.survivors(survivor.prepare(df, sources)).collect()}
+    want = {"url": "http://x.test/q/", "archive": "CRAWL", "timestamp": "20010101000000", "instant": 978307200, "size": 5, "status": "404", "mimetype": "a/b", "download_url": "http://d.test/2", "confidence": 0.9}
+    assert {k: built[1][k] for k in want} == want and built[1]["hits"] == 3
+    assert {k for k, v in built[4].items() if v not in (None, False)} == {"group_hit_id", "hits", "url"}
+    assert (built[7]["mimetype"], built[7]["mimetype_from_precedence"], built[7]["from_precedence"]) == ("t/old", True, False)
+
+
 # ---- truncation
 @pytest.mark.parametrize(
     "text, want",
