@@ -88,13 +88,15 @@ _ADDRESS_OR_HASH = re.compile(r"(?:(?:https?|ftp)://[!-~]+|[0-9a-f]+)\Z", re.I)
 _SEPARATOR = re.compile(r"(?:[-=_*~#+.\u2500-\u257f\u2014]\s?){3,}\Z")
 _FOOTERS = re.compile(
     r"(?:(?:page|seite|p\u00e1gina) \d+ (?:of|de|von|/) ?\d+|(?:\(c\)|\u00a9|copyright)\s.*\d{4}.*|\^ ?top|(?:back|return|zur\u00fcck|volver|voltar|retour) (?:to|zu|zum|a|ao|au)\b.{0,40}"
-    r"|(?:last (?:updated|modified)|updated|stand)\b.{0,30}\d|best viewed .{0,40}|you are visitor\b.{0,20}\d+|--? ?\S.{0,40}|EOF|(?:the )?end|crawl finished\b.{0,40}"
+    r"|(?:last (?:updated|modified)|updated|stand)\b.{0,30}\d|best viewed .{0,40}|you are visitor\b.{0,20}\d+|--(?: \S.{0,40})?|EOF|(?:the )?end|crawl finished\b.{0,40}"
     r"|(?:https?://|www\.)\S+/\S*\.\w{2,5}|[^.!?<>]{1,24}(?: \| [^.!?<>|]{1,24})+)\Z",
     re.I,
 )
 _LOG = re.compile(r".*\s\d+ bytes\Z")
 _LISTING = re.compile(r"\S.*\s\d{1,2}-\w{3}-\d{4} \d\d:\d\d\s+(?:[\d.]+[KMGT]?B?|-)\Z")
 _OPEN_TAG = re.compile(r"<(?:[a-zA-Z/!][^<>]*)?\Z")
+#: The mark of a page at the start of a line or after another tag; in prose that tells of tags it stands elsewhere.
+_PAGE_LINE, _PAGE = re.compile(r"(?:^|>)[ \t]{0,99}<(?:html|body)[\s>]", re.I | re.M), re.compile("<(?:html|body)", re.I)
 _CLOSED_PAGE = re.compile(r"</(?:html|body)\s*>\Z", re.I)
 _SHORT_END = re.compile(r"(?:^|[.!?]\s+|\n)(?:[^\W\d_]+ )?[^\W\d_]+ \d+\.\Z")
 _LOG_START = re.compile(r"\d{4}-\d\d-?(?:\d\d)?(?:T[\d:]*Z?)?\b")
@@ -148,13 +150,12 @@ def _judged(text: str | None) -> tuple[str, str, str]:
         return "blank", "", ""
     if any(c in end[-16:] for c in "\u00c3\u00c2\u00e2\u00e3\u00e5\u00e6\u00e7\u00e8\u00e9\ufffd\u20ac"):
         end = _TAIL_BLANKS.sub("", _mended(end)) or end
-    if _OPEN_TAG.search(end[-4096:]) and not end.endswith("<>"):
+    if _OPEN_TAG.match(end, max(end.rfind("<"), 0)) and not end.endswith("<>"):
         return "cut", "", ""
-    lines = [x.strip() for x in re.split(r"[\r\n\x0b\x0c\u2028\u2029]+", end[-16384:]) if x.strip()]
+    lines = [x.strip() for x in re.split(r"[\r\n\x0b\x0c\u2028\u2029]+", end) if x.strip()]
     last = lines[-1]
     template = re.sub(r"\b[A-Z][a-z]{3,}\b", "A", re.sub(r"\d+", "9", last))
-    head = text[:2048].lower()
-    if "<html" in head or "<body" in head:
+    if _PAGE.search(text, 0, 2048) or _PAGE_LINE.search(text) or text.lstrip().startswith("<") and _PAGE.search(text):
         if _CLOSED_PAGE.search(end) or end.endswith(">"):
             return "complete", template, ""
         return "cut", template, ""

@@ -189,6 +189,18 @@ def test_single_words(text, want):
     assert truncation.ending(text)[0] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("<!-- " + "a note. " * 400 + "--><html><body><p>It ends. ", "cut"), ("<script>" + "x = 1;\n" * 400 + "</script>\n<body><p>It ends.", "cut"), ("A word. " * 400 + "The <body> tag is old.", "complete"),
+        ('See <img src="data:image/png;base64,' + "QUJD" * 2000, "cut"), ("a.iso   01-Oct-1998 12:40   8229K\n" + "b" * 17_000, "cut"),
+        ("Read me.\n- copy the fi", "open"), ("Read me.\n--copy the fi", "open"), ("Read me.\n-- the webmaster", "complete"), ("Read me.\n-- ", "complete"),
+    ],
+)
+def test_endings_of_whole_texts(text, want):
+    assert truncation.ending(text)[0] == want
+
+
 def test_measures(spark):
     text = 'a"b\\<&>\n\té😀'
     import html
