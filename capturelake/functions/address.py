@@ -58,14 +58,19 @@ def _decoded(text: Column) -> Column:
     return F.when(text.contains("%"), F.coalesce(F.try_url_decode(guarded), text)).otherwise(text)
 
 
+def _climbed(path: Column) -> Column:
+    """Path with its '..' segments resolved, however many; those above the root are dropped."""
+    names = F.filter(F.split(path, "/"), lambda x: x != "")
+    step = lambda kept, x: F.when(x != "..", F.array_append(kept, x)).otherwise(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+    kept = F.aggregate(names, F.array().cast("array<string>"), step)
+    return F.array_join(F.transform(kept, lambda x: F.concat(F.lit("/"), x)), "")
+
+
 def _path(path: Column) -> Column:
     """Path without needless slashes and dot segments."""
     path = F.regexp_replace(path, r"/(?:\.?/)+", "/")  # "//" and "/./"
     path = F.regexp_replace(path, r"/\.\z", "/")
-    climbed = path
-    for _ in range(4):  # "/a/../" up to four levels deep
-        climbed = F.regexp_replace(climbed, r"/(?!\.\./)[^/]+/\.\.(?=/|\z)", "")
-    path = F.when(path.contains("/.."), F.regexp_replace(climbed, r"^(?:/\.\.)+(?=/|\z)", "")).otherwise(path)
+    path = F.when(path.contains("/.."), _climbed(path)).otherwise(path)
     return F.regexp_replace(path, r"/+\z", "")
 
 

@@ -80,3 +80,9 @@ def test_random_spellings(spark):
         pairs.append((url, respell(rng, url)))
     got = addresses(spark, [p for _, p in pairs])
     assert [(a, p) for (a, p), g in zip(pairs, got) if a != g] == []
+
+
+def test_climbs_of_any_depth(spark):
+    cases = {"/a/b/c/d/e/../../../../../f": "/f", "/" + "a/" * 40 + "../" * 40 + "g/": "/g", "/a/../../b": "/b", "/a/..b/../c": "/a/c", "/../..c": "/..c"}
+    df = spark.createDataFrame([(f"http://x.test{k}", f"http://x.test{v}") for k, v in cases.items()], "url string, want string")
+    assert not [tuple(r) for r in df.select(address(F.col("url")).alias("got"), "want").collect() if r["got"] != r["want"]]
