@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,13 +31,26 @@ _CLEAN_QUERY = _CLEAN_PATH + r"\?(?:[a-z0-9_~-][a-z0-9_~.=&-]*)?[a-z0-9_~-]\z"
 _PARTS = r"^(https?):/+([^/?#]*)([^?#]*)\??([^#]*)#?(.*)\z"
 
 
+def _named_entities() -> Column:
+    """Map of all named character references of HTML that are one character, as a literal that is folded once."""
+    known = {n.rstrip(";"): c for n, c in html.entities.html5.items() if n.endswith(";") and len(c) == 1}
+    return F.from_json(F.lit(json.dumps(known)), "map<string,string>")
+
+
 def _entities(text: Column) -> Column:
-    """Character entities decoded; other names are left alone."""
-    for _ in range(2):  # "&amp;amp;" is met in pages that were escaped twice
-        text = F.regexp_replace(text, "(?i)&amp;", "&")
+    """Character entities decoded, escaped any number of times; unknown names are left alone."""
+    text = F.regexp_replace(text, r"(?i)&(?:amp;|#0*38;|#x0*26;)(?:(?:amp|#0*38|#x0*26);)*", "&")
     for name, plain in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("shy", "")):
         text = F.regexp_replace(text, f"(?i)&{name};", plain)
 
+    def named(parts: Column) -> Column:
+        def one(part: Column, k: Column) -> Column:
+            name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]{1,31});", 1)
+            char = F.when(name != "", F.element_at(_named_entities(), name))
+            return F.when(k == 0, part).when(char.isNotNull(), F.concat(char, F.regexp_replace(part, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&"), part))
+
+        return F.concat_ws("", F.transform(parts, one))
+
     def numeric(parts: Column) -> Column:
         def one(part: Column, k: Column) -> Column:
             code = F.regexp_extract(part, r"^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
@@ -49,7 +65,8 @@ def _entities(text: Column) -> Column:
 
         return F.concat_ws("", F.transform(parts, one))
 
-    return F.when(text.contains("&#"), numeric(F.split(text, "&#"))).otherwise(text)
+    text = F.when(text.contains("&#"), numeric(F.split(text, "&#"))).otherwise(text)
+    return F.when(text.rlike("&[A-Za-z][A-Za-z0-9]{1,31};"), named(F.split(text, "&"))).otherwise(text)
 
 
 def _decoded(text: Column) -> Column:
@@ -100,7 +117,7 @@ def address(url: Column) -> Column:
 def _respelled(url: Column) -> Column:
     """The address of a text that may be spelled in any way."""
     text = F.when(url.rlike(BLANKS), F.regexp_replace(url, BLANKS, "")).otherwise(url)
-    text = F.when(text.contains("&"), _entities(text)).otherwise(text)
+    text = F.when(text.contains("&"), F.regexp_replace(_entities(text), BLANKS, "")).otherwise(text)
     return let(F.lower(text), _from_plain)
 
 

@@ -37,6 +37,8 @@ def version_history(
     value = F.lower(F.col(attribute))
     known = df.filter((value != "") & F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), value.alias("_a"), F.col(time).alias("_text"))
     snapshots = once(known, seconds, "_t").drop("_text").withColumn("_block", F.floor(F.col("_t") / block_seconds))
+    # what a join would infer on one of its sides holds on both, so that the blocks are made once, in one exchange
+    snapshots = snapshots.filter("_e is not null and _block is not null")
     blocks = snapshots.groupBy("_e", "_block").agg(F.array_sort(F.collect_set(F.struct("_t", "_a"))).alias("_snaps"))
 
     # presence bitmaps: a word of 64 snapshots for each entity, block and attribute

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from capturelake.session import task_count
 
-#: Hash buckets for the keys that are too small to be planned one by one.
-MAX_BUCKETS = 4096
+#: Hash buckets of a task for the keys that are too small to be planned one by one.
+BUCKETS_PER_TASK = 32
 
 
 @dataclass(frozen=True)
@@ -20,7 +20,7 @@ class LoadPlan:
     """Where the rows of each key go.
 
     ``heavy`` has one entry for each key above half a task's mean load, so at most ``2 * tasks``;
-    ``buckets`` has the task of each hash bucket of the other keys. Neither grows with the data.
+    ``buckets`` has the task of each hash bucket of the other keys, 32 a task. Neither grows with the data.
     """
 
     keys: tuple[str, ...]
@@ -34,22 +34,23 @@ class LoadPlan:
 def plan_loads(df: DataFrame, keys: list[str], tasks: int | None = None) -> LoadPlan:
     """Bin-pack keys to tasks by their row counts; split large keys into proportionate shards.
 
-    Counts are combined map-side; the driver gets the heavy keys (at most ``2 * tasks`` rows) and one
-    load per hash bucket. A NULL key is a key of its own; an empty table gives a plan without loads.
+    Counts are combined map-side in one scan; the driver gets the heavy keys (at most ``2 * tasks`` rows)
+    and one load per hash bucket. A NULL key is a key of its own; an empty table gives a plan without loads.
     """
     tasks = tasks or task_count(df.sparkSession)
-    n_buckets = min(MAX_BUCKETS, 32 * tasks)
-    total = df.count()
-    limit = max(1.0, total / (2 * tasks))
+    n_buckets = BUCKETS_PER_TASK * tasks
     bucket = F.pmod(F.hash(*keys), F.lit(n_buckets))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     key = F.struct(*[F.col(k) for k in keys])
-    large = F.col("_n") > limit
+    whole = counts.agg(F.sum("_n").alias("_total"))  # one row, from the same exchange
+    large = F.col("_n") * (2 * tasks) > F.col("_total")
     loads = (
-        counts.groupBy(F.when(large, key).alias("_key"), F.when(~large, bucket).alias("_bucket"))
+        counts.join(F.broadcast(whole))
+        .groupBy(F.when(large, key).alias("_key"), F.when(~large, bucket).alias("_bucket"))
         .agg(F.sum("_n").alias("_n"))
         .collect()
     )
+    total = sum(r["_n"] for r in loads)
     mean = max(1.0, total / tasks)
     pieces: list[tuple[float, object]] = []
     for r in loads:
@@ -72,17 +73,18 @@ def plan_loads(df: DataFrame, keys: list[str], tasks: int | None = None) -> Load
 
 
 def _with_tasks(df: DataFrame, plan: LoadPlan) -> DataFrame:
-    """``df`` with ``_tasks``: the tasks of its key's shards. The broadcast has at most ``2 * tasks`` rows."""
+    """``df`` with ``_tasks``: the tasks of its key's shards. What is broadcast has at most ``34 * tasks`` rows."""
     spark = df.sparkSession
-    light = F.element_at(F.array(*[F.lit(t) for t in plan.buckets]), F.pmod(F.hash(*plan.keys), F.lit(len(plan.buckets))) + 1)
+    buckets = spark.createDataFrame(list(enumerate(plan.buckets)), "_bucket int, _light int")
+    placed = df.withColumn("_b", F.pmod(F.hash(*plan.keys), F.lit(len(plan.buckets)))).join(F.broadcast(buckets), F.col("_b") == F.col("_bucket"), "left").drop("_b", "_bucket")
     if not plan.heavy:
-        return df.withColumn("_tasks", F.array(light))
+        return placed.withColumn("_tasks", F.array("_light")).drop("_light")
     fields = [f for k in plan.keys for f in df.schema.fields if f.name == k]
     names = [f"_k{i}" for i in range(len(fields))]
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields)) + ", _shards array<int>"
     heavy = spark.createDataFrame([(*k, list(t)) for k, t in plan.heavy], schema)
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(plan.keys, names)])
-    return df.join(F.broadcast(heavy), same, "left").withColumn("_tasks", F.coalesce("_shards", F.array(light))).drop(*names, "_shards")
+    return placed.join(F.broadcast(heavy), same, "left").withColumn("_tasks", F.coalesce("_shards", F.array("_light"))).drop(*names, "_shards", "_light")
 
 
 def fragment(df: DataFrame, plan: LoadPlan, spread: list[str]) -> DataFrame:

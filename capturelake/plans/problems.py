@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturelake.functions.address import address
-from capturelake.functions.instants import utc_seconds, utc_text
+from capturelake.functions.instants import utc_seconds, utc_text, zone_of
 from capturelake.operators.history import version_history
 from capturelake.operators.orphans import Reference, orphan_counts, orphan_rows
 from capturelake.operators.skew import balanced_summary, fragment_replicate_join, plan_loads
-from capturelake.operators.timestamps import normalise_timestamps, to_be_normalised
+from capturelake.operators.timestamps import to_be_normalised
 from capturelake.operators.widen import cells_of, widen
 from capturelake.plans.problem_sql import SQL
 from capturelake.session import spread, table
@@ -24,18 +24,18 @@ def _domains(spark: SparkSession, d: str, times: bool) -> DataFrame:
     for name in ("cdx_records", "records"):
         df = table(spark, d, name).select("domain", "url", "timestamp", "source")
         if times:
+            second = utc_seconds(F.col("timestamp"), zone_of(F.col("source"), table(spark, d, "archive_sources")))
             df = spread(df)
-            df = normalise_timestamps(df, table(spark, d, "archive_sources"))
         else:
-            df = df.withColumn("utc_time", F.lit(None).cast("string"))
-        parts.append(df.select(F.lit(name).alias("table_name"), "domain", "url", "utc_time"))
+            second = F.lit(None).cast("long")
+        parts.append(df.select(F.lit(name).alias("table_name"), "domain", "url", second.alias("second")))
     return parts[0].unionByName(parts[1])
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _domains(spark, d, times=False)
     counts = balanced_summary(rows, ["table_name", "domain"], "url")
-    totals = {n: table(spark, d, n).count() for n in ("cdx_records", "records")}  # from the file footers
+    totals = {n: table(spark, d, n).count() for n in ("cdx_records", "records")}  # from the file footers, no column is read
     total = F.when(F.col("table_name") == "records", totals["records"]).otherwise(totals["cdx_records"])
     return counts.filter(F.col("domain").isNotNull() & (F.col("rows") * 100 >= total * DOMINANT_PERCENT)).select("table_name", "domain")
 
@@ -44,8 +44,8 @@ def p1_domains(spark: SparkSession, d: str) -> DataFrame:
     """Captures, distinct urls, first and last capture of every domain of both tables."""
     rows = _domains(spark, d, times=True)
     plan = plan_loads(_domains(spark, d, times=False), ["table_name", "domain"])
-    return balanced_summary(rows, ["table_name", "domain"], "url", first_last="utc_time", plan=plan).select(
-        "table_name", "domain", F.col("rows").alias("captures"), F.col("items").alias("urls"), F.col("first").alias("first_capture"), F.col("last").alias("last_capture")
+    return balanced_summary(rows, ["table_name", "domain"], "url", first_last="second", plan=plan).select(
+        "table_name", "domain", F.col("rows").alias("captures"), F.col("items").alias("urls"), utc_text(F.col("first")).alias("first_capture"), utc_text(F.col("last")).alias("last_capture")
     )
 
 

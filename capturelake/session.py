@@ -33,11 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs no more than a re-read of the table.
+    This cuts the lineage: a lost executor costs no more than a re-read of the table. The table is removed
+    when the driver's JVM ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    remove_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority of its file system, as processes outside Spark need it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the driver's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def task_count(spark: SparkSession) -> int:
@@ -45,14 +60,25 @@ def task_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Setting that puts an exchange behind each scan whose rows are costly to parse; for files of one row group each.
+SPREAD = "spark.capturelake.spreadScans"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if its files give fewer splits than there are cores; else as it is.
+    """``df`` as it is; over all cores by an exchange, if the session asks for it (``spark.capturelake.spreadScans``).
 
-    For costly projections over few or small files. Tables of many splits, as all large ones are, are read
-    without an exchange.
+    A file of one row group is one task, however costly its rows are. The plan follows the setting alone, not
+    the size of the data; by default scans are read without an exchange.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    return df.repartition(spark.sparkContext.defaultParallelism) if spark.conf.get(SPREAD, "false").lower() == "true" else df
+
+
+def require_skew_splitting(spark: SparkSession) -> None:
+    """Raise an error if the runtime does not split skewed join partitions, on which a join with hot rows relies."""
+    for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
+        if spark.conf.get(name, "true").lower() != "true":
+            raise ValueError(f"set {name}; without it a hot group's rows would be joined in one task")
 
 
 def once(df: DataFrame, value: Column, name: str) -> DataFrame:

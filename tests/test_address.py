@@ -40,6 +40,17 @@ def test_forms(spark, text, want):
     assert addresses(spark, [text]) == [want]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("http://ex.test/a/b/c/d/e/f/g/h/../../../../../../../../z", "http://ex.test/z"), ("http://ex.test/?a=1&amp;amp;amp;b=2", "http://ex.test?a=1&b=2"), ("http://ex.test/?a=1&#38;#038;amp;b=2", "http://ex.test?a=1&b=2"),
+        ("http://ex.test/&eacute;", "http://ex.test/é"), ("http://ex.test/&Eacute;&#xe9;", "http://ex.test/éé"), ("http://ex.test/a&ensp;&#32;b", "http://ex.test/ab"), ("http://ex.test/?a&unheardof;b", "http://ex.test?a&unheardof;b"),
+    ],
+)
+def test_any_depth(spark, text, want):
+    assert addresses(spark, [text]) == [want]
+
+
 def test_long_text(spark):
     long = "http://ex.test/" + "a/" * 200_000 + "b"
     assert addresses(spark, [long, long.upper() + "/"]) == [long, long]
