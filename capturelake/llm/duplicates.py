@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.functions.address import id128
-from capturelake.session import materialise, once
+from capturelake.session import materialise, once, require_skew_splitting
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,7 @@ def copies(df: DataFrame, row_id: str, fields: list[Field]) -> DataFrame:
     and its rows are split by the runtime where they are too many for a task. Rows that share an id
     with the first one do not come out; an empty table gives an empty result.
     """
+    require_skew_splitting(df.sparkSession)
     encoded = materialise(encode(df, row_id, fields), "encoded")
     keys = [c for c in encoded.columns if c != "row_id"]
     groups = group_sizes(encoded).filter(F.col("copies") > 1).drop("copies")
@@ -79,4 +80,5 @@ def copies(df: DataFrame, row_id: str, fields: list[Field]) -> DataFrame:
 
 def collapse(df: DataFrame, row_id: str, fields: list[Field]) -> DataFrame:
     """(first_id, copies): one record per group of formatting duplicates, with the number of its rows."""
+    require_skew_splitting(df.sparkSession)
     return group_sizes(encode(df, row_id, fields)).select("first_id", "copies")

@@ -47,8 +47,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """One built record per address, its status by currency where no hit has an instant."""
-    return survivor.survivors(_hits(spark, d))
+    """One built record per address, its status and type by currency where no hit has an instant; the hits are parsed once."""
+    return survivor.survivors(materialise(_hits(spark, d), "hits"))
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -61,11 +61,9 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and characters of the corpus by source."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("chars"))
-    return (
-        tokens.encode(_texts(spark, d)).select("doc_id", F.size("ids").alias("n"))
-        .join(docs, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.sum("chars").alias("chars"))
-    )
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text", F.length("text").alias("chars")))
+    coded = tokens.encode(docs, keep=("source", "chars"))
+    return coded.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("ids")).alias("tokens"), F.sum("chars").alias("chars"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

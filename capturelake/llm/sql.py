@@ -1,4 +1,4 @@
-"""SQL of the queries on duplicates, survivors and leaks; endings and token ids have none that is practical."""
+"""SQL of the queries on duplicates, survivors, leaks and length limits; endings and token ids have none that is practical."""
 
 from __future__ import annotations
 
@@ -43,4 +43,25 @@ def _runs(name: str, row_id: str) -> str:
 P9 = f"SELECT DISTINCT d.doc_id, i.item_id FROM {_runs('documents', 'doc_id')} d JOIN {_runs('eval_items', 'item_id')} i USING (run)"
 P9_ITEMS = f"SELECT item_id, count(DISTINCT doc_id) AS documents FROM ({P9}) GROUP BY 1"
 
-SQL = {"p3_found": P3, "p3_collapsed": P3_COLLAPSED, "p6_found": P6, "p9_found": P9, "p9_items": P9_ITEMS}
+_COUNT = lambda pattern: f"len(regexp_extract_all(text, '{pattern}'))"
+_LINES = "(length(text) - length(replace(text, chr(10), ''))) - (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2"
+_ASTRAL, _QUOTES, _CONTROLS, _OTHERS = r"[\x{10000}-\x{10ffff}]", r'["\\]', r"[\n\r\t\x08\x0c]", r"[\x00-\x07\x0b\x0e-\x1f]"
+_LENGTHS = {
+    "characters": "length(text)", "utf8_bytes": "strlen(text)", "utf16_units": f"length(text) + {_COUNT(_ASTRAL)}",
+    "html_characters": f"length(text) + 4 * {_COUNT('&')} + 3 * {_COUNT('[<>]')} + 5 * {_COUNT(chr(34))}",
+    "json_characters": f"length(text) + {_COUNT(_QUOTES)} + {_COUNT(_CONTROLS)} + 5 * {_COUNT(_OTHERS)}",
+    "crlf_characters": f"length(text) + {_LINES}", "crlf_bytes": f"strlen(text) + {_LINES}",
+}
+_BLANK_TEXT = r"[\s\x00-\x1f\x7f\x{85}\x{a0}\x{ad}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]*"
+P10_LIMITS = f"""
+WITH t AS (SELECT DISTINCT source, text FROM documents WHERE NOT regexp_full_match(text, '{_BLANK_TEXT}')),
+m AS ({' UNION ALL '.join(f"SELECT source, {k} AS k, '{n}' AS measure, {x} AS len FROM t" for k, (n, x) in enumerate(_LENGTHS.items()))}),
+c AS (SELECT source, k, measure, len, count(*) AS n FROM m GROUP BY 1, 2, 3, 4),
+s AS (SELECT *, sum(n) OVER (PARTITION BY source, measure) AS total FROM c),
+l AS (SELECT s.*, (SELECT sum(n) FROM c WHERE c.source IS NOT DISTINCT FROM s.source AND c.measure = s.measure AND c.len // 32 BETWEEN s.len // 32 - 1 AND s.len // 32 + 1) AS near,
+ (SELECT coalesce(sum(n), 0) FROM c WHERE c.source IS NOT DISTINCT FROM s.source AND c.measure = s.measure AND c.len BETWEEN s.len + 1 AND s.len + 8) AS beyond FROM s)
+SELECT source, measure, len AS "limit", n AS texts, round(n / total, 6) AS share FROM l WHERE n >= 8 AND n >= 0.005 * total AND (near - n) * 10 <= n * 95 AND beyond * 10 <= n * 8
+QUALIFY row_number() OVER (PARTITION BY source, len ORDER BY n DESC, k) = 1
+"""
+
+SQL = {"p3_found": P3, "p3_collapsed": P3_COLLAPSED, "p6_found": P6, "p9_found": P9, "p9_items": P9_ITEMS, "p10_limits": P10_LIMITS}

@@ -1,12 +1,14 @@
-"""Encoding of texts with a public byte-level BPE vocabulary; long texts by tree concatenation."""
+"""Encoding of texts with a public byte-level BPE vocabulary, by tree concatenation."""
 
 from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that splits a text into pieces before byte-pair merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Characters of a segment; texts of up to this length are encoded as they are.
-SEGMENT = 1 << 16
+#: Characters of a segment, the unit that is encoded on its own; a text of n characters has about n / SEGMENT of them.
+SEGMENT = 512
+#: Characters of the texts that are held at once with their ids.
+_HELD = 4 << 20
 
 _MAX_VOCABULARY_BYTES = 16 << 20
 _encodings: dict[bytes, object] = {}
@@ -76,22 +80,18 @@ def join_kind(text: str, at: int) -> str:
 def segments(text: str, size: int = SEGMENT) -> list[tuple[str, str]]:
     """(join, part) of a text cut into parts of about ``size`` characters; join tells how a part goes on from the one before.
 
-    A cut is made at the first safe place after each multiple of ``size`` within a tenth of it, else
-    inside a run there.
+    A cut is made at the first place after each multiple of ``size`` where the join is known: at the end of a piece, or
+    inside a run, as most are.
     """
     out, start, join = [], 0, "safe"
     while len(text) - start > size + size // 2:
-        first = start + size
-        found = (len(text), "")
-        for at in range(first, len(text)):
-            kind = join_kind(text, at)
-            if kind == "safe" or kind == "raw" and at > first + size // 10:
-                found = (at, kind)
-                break
-        out.append((join, text[start : found[0]]))
-        start, join = found
-        if start == len(text):
-            return out
+        at = start + size
+        while at < len(text) and not join_kind(text, at):
+            at += 1
+        if at == len(text):
+            break
+        out.append((join, text[start:at]))
+        start, join = at, join_kind(text, at)
     out.append((join, text[start:]))
     return out
 
@@ -101,27 +101,28 @@ class Node:
 
     __slots__ = ("ids", "head", "tail", "single")
 
-    def __init__(self, ids: list[int], head: int, tail: int, single: bool):
-        self.ids, self.head, self.tail, self.single = ids, head, tail, single
+    def __init__(self, ids, head: int, tail: int, single: bool):
+        self.ids, self.head, self.tail, self.single = array("i", ids), head, tail, single
 
 
-def leaf(enc, part: str) -> Node:
-    """A part encoded on its own."""
+def leaf(enc, part: str, ids: list[int], inside_left: bool = True, inside_right: bool = True) -> Node:
+    """The node of an encoded part; its first and last piece are measured only where it is joined inside a run."""
     import regex
 
-    ids = enc.encode_ordinary(part)
-    head = tail = None
-    n = 0
-    for m in regex.finditer(PATTERN, part):
-        head = m if head is None else head
-        tail, n = m, n + 1
-    if not n:
+    if not (inside_left or inside_right) or not part:
         return Node(ids, 0, 0, False)
-    count = lambda m: len(enc._encode_single_piece(m.group()))
-    return Node(ids, count(head), count(tail), n == 1)
-
-
-def _concatenate(enc, left: list[int], right: list[int]) -> list[int]:
+    count = lambda piece: len(enc._encode_single_piece(piece))
+    head = regex.match(PATTERN, part).group()
+    if len(head) == len(part):
+        return Node(ids, len(ids), len(ids), True)
+    at = len(part) - 1
+    while at and join_kind(part, at) != "safe":
+        at -= 1
+    tail = regex.findall(PATTERN, part[at:])[-1]
+    return Node(ids, count(head) if inside_left else 0, count(tail) if inside_right else 0, False)
+
+
+def _concatenate(enc, left: array, right: array) -> array:
     """Ids of one piece from the ids of its two halves.
 
     Windows around the join are encoded again, of 1, 2, 4, ... ids on each side, until the new ids
@@ -131,9 +132,9 @@ def _concatenate(enc, left: list[int], right: list[int]) -> list[int]:
     w = 1
     while True:
         a, b = left[-w:], right[:w]
-        middle = enc._encode_single_piece(enc.decode_bytes(a + b))
+        middle = enc._encode_single_piece(enc.decode_bytes([*a, *b]))
         if (w >= len(left) or middle[0] == a[0]) and (w >= len(right) or middle[-1] == b[-1]):
-            return left[: len(left) - len(a)] + middle + right[len(b) :]
+            return left[: len(left) - len(a)] + array("i", middle) + right[len(b) :]
         w *= 2
 
 
@@ -146,77 +147,68 @@ def concatenate(enc, a: Node, join: str, b: Node) -> Node:
     return Node(ids, len(piece) if a.single else a.head, len(piece) if b.single else b.tail, a.single and b.single)
 
 
-def tree(enc, nodes: list[tuple[str, Node]]) -> list[int]:
-    """Ids of a text from the nodes of its parts, joined two by two."""
+def tree(enc, nodes: list[tuple[str, Node]]) -> array:
+    """Ids of a text from the nodes of its parts, joined two by two; the join is how a part goes on from the one before."""
     while len(nodes) > 1:
         pairs = [(nodes[k][0], concatenate(enc, nodes[k][1], nodes[k + 1][0], nodes[k + 1][1])) for k in range(0, len(nodes) - 1, 2)]
         nodes = pairs + nodes[2 * len(pairs) :]
     return nodes[0][1].ids
 
 
+def encode_texts(enc, texts: list[str | None], size: int = SEGMENT, threads: int = 1) -> list[array]:
+    """Ids of each text: its segments are encoded side by side, then joined in a tree; [] for NULL and ''."""
+    cut = [segments(t, size) if t else [] for t in texts]
+    coded = iter(enc.encode_ordinary_batch([part for parts in cut for _, part in parts], num_threads=threads))
+    out = []
+    for parts in cut:
+        nodes = []
+        for k, (join, part) in enumerate(parts):
+            goes_on = k + 1 < len(parts) and parts[k + 1][0] == "raw"
+            nodes.append((join, leaf(enc, part, next(coded), join == "raw", goes_on)))
+        out.append(tree(enc, nodes) if nodes else array("i"))
+    return out
+
+
 def encode_text(enc, text: str | None, size: int = SEGMENT) -> list[int]:
-    """Ids of one text on one machine; [] for NULL and ''."""
-    if not text:
-        return []
-    if len(text) <= size:
-        return enc.encode_ordinary(text)
-    return tree(enc, [(join, leaf(enc, part)) for join, part in segments(text, size)])
-
-
-def encode(df: DataFrame, *, text: str = "text", row_id: str = "doc_id", vocabulary: str = VOCABULARY, segment: int = SEGMENT) -> DataFrame:
-    """(row_id, ids): each text as ids of the vocabulary, without special tokens; [] for NULL and ''.
-
-    The strings of special tokens are ordinary text. Each row comes out once, repeated rows too. Texts
-    of up to ``segment`` characters are encoded in the scan's own tasks, without an exchange. A
-    longer one is cut into parts that are spread over the cluster and encoded there, and its ids are
-    joined in a tree, each join by growing windows; the result is that of the whole text. The
-    vocabulary file is read on the driver and broadcast; its size is checked.
+    """Ids of one text; [] for NULL and ''."""
+    return encode_texts(enc, [text], size)[0].tolist()
+
+
+def encode(
+    df: DataFrame, *, text: str = "text", row_id: str = "doc_id", vocabulary: str = VOCABULARY, segment: int = SEGMENT, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(row_id, the columns of ``keep``, ids): each text as ids of the vocabulary, without special tokens; [] for NULL and ''.
+
+    The strings of special tokens are ordinary text. Each row comes out once, repeated rows too. Every text is
+    cut into segments, at a place where a piece of the vocabulary's pattern ends, or inside a run that has none. The
+    segments are encoded on their own, by as many threads as a task has processors (``spark.task.cpus``), and
+    joined in a tree; a join inside a run encodes growing windows again, until both sides agree. The result is that
+    of the whole text. The table is scanned once and there is no exchange. A long run costs no more a character than a
+    short one, since no piece longer than a segment is merged at once. The vocabulary file is read on the driver
+    and broadcast; its size is checked.
     """
     data = Path(vocabulary).read_bytes()
     if len(data) > _MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary file is too large to broadcast")
-    shared = df.sparkSession.sparkContext.broadcast(data)
-    id_type = df.schema[row_id].dataType.simpleString()
-    ids_type = pa.list_(pa.int32())
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(data)
+    threads = int(spark.conf.get("spark.task.cpus", "1"))
+    names = [row_id, *keep, "ids"]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names[:-1]) + ", ids array<int>"
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(shared.value)
         for b in batches:
-            ids = [enc.encode_ordinary(t) if t else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, ids_type)], names=[row_id, "ids"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, t in enumerate(b.column(2).to_pylist()):
-                parts = segments(t, segment)
-                n = len(parts)
-                repeat = lambda c: b.column(c).take(pa.array([k] * n))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [repeat(0), repeat(1), pa.array(range(n), pa.int32()), pa.array([j for j, _ in parts]), pa.array([p for _, p in parts])],
-                    names=["_tag", row_id, "seq", "join", "part"],
-                )
-
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(shared.value)
-        for b in batches:
-            nodes = [leaf(enc, p) for p in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), b.column(3), pa.array([x.ids for x in nodes], ids_type),
-                 pa.array([x.head for x in nodes], pa.int32()), pa.array([x.tail for x in nodes], pa.int32()), pa.array([x.single for x in nodes])],
-                names=["_tag", row_id, "seq", "join", "ids", "head", "tail", "single"],
-            )
-
-    def joined(group: pa.Table) -> pa.Table:
-        enc = encoding(shared.value)
-        rows = sorted(group.to_pylist(), key=lambda r: r["seq"])
-        ids = tree(enc, [(r["join"], Node(r["ids"], r["head"], r["tail"], r["single"])) for r in rows])
-        return pa.table([group.column(row_id).slice(0, 1), pa.array([ids], ids_type)], names=[row_id, "ids"])
-
-    rows = df.select(row_id, text)
-    long = F.length(text) > segment
-    out = f"`{row_id}` {id_type}, ids array<int>"
-    whole = rows.filter(F.coalesce(~long, F.lit(True))).mapInArrow(short, out)
-    parts = rows.filter(long).select(F.monotonically_increasing_id().alias("_tag"), row_id, text)
-    parts = parts.mapInArrow(cut, f"_tag bigint, `{row_id}` {id_type}, seq int, join string, part string").repartition("_tag", "seq")
-    nodes = parts.mapInArrow(leaves, f"_tag bigint, `{row_id}` {id_type}, seq int, join string, ids array<int>, head int, tail int, single boolean")
-    return whole.unionByName(nodes.groupBy("_tag").applyInArrow(joined, out))
+            texts = b.column(b.num_columns - 1).to_pylist()
+            begin = held = 0
+            for k, t in enumerate(texts):
+                held += len(t or "")
+                if held >= _HELD or k + 1 == len(texts):
+                    ids = encode_texts(enc, texts[begin : k + 1], segment, threads)
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                    values = np.frombuffer(b"".join(ids), dtype=np.int32)
+                    part = b.slice(begin, k + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))], names=names)
+                    begin, held = k + 1, 0
+
+    return df.select(row_id, *keep, F.col(text).alias("_text")).mapInArrow(coded, schema)

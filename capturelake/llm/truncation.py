@@ -7,17 +7,19 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A length is a limit if at least this many texts of a source have it ...
-MIN_AT_LIMIT = 5
-#: ... and at least this share of the source's texts.
-MIN_SHARE = 0.02
+#: A length is a limit of a source if at least so many distinct texts have it, at least this share of the source's ...
+MIN_AT_LIMIT, MIN_SHARE = 8, 0.005
+#: ... and so many times the mean of the lengths around it, which are those of its bin of this width and of the two next to that.
+SPIKE, BIN = 10, 32
+#: ... and of the next so many lengths, which the limit cuts off.
+BEYOND = 8
 #: A limit in bytes may leave the last character out, which has up to four bytes.
 BYTE_SLACK = 3
-#: A closing line that at least this share of all distinct texts end with, and at least so many of them, is a footer.
-FOOTER_SHARE, FOOTER_TEXTS = 0.005, 20
+#: A closing line under at least this share of distinct texts, of all or of one source, and under so many of them, is a footer.
+FOOTER_SHARE, FOOTER_TEXTS = 0.005, 5
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -45,31 +47,42 @@ MEASURES = (
 )
 
 
+def _distinct_texts(inspected: DataFrame) -> DataFrame:
+    """The texts that are not blank, each once for a source, however many copies it has."""
+    return inspected.filter("verdict <> 'blank'").dropDuplicates(["source", "text_key"])
+
+
 def hidden_limits(inspected: DataFrame) -> DataFrame:
     """(source, measure, limit, texts, share): lengths at which a source cuts its texts.
 
-    Texts are counted by source, measure and length, map-side combined; a length is a limit if many texts
-    of the source share it and at most a hundredth of them are longer. The counts, not the texts, are
-    what moves: one row per source, measure and length. ``inspected`` is the result of ``inspect``.
+    Distinct texts are counted by source, measure and length, map-side combined; a length is a limit if it stands out of
+    the lengths around it, so a source may have any number of limits, one for each measure or period. Of the measures
+    that stand out at the same number, the one that most texts reach is the limit; it casts the others. The counts, not
+    the texts, are what moves: one row per source, measure and length. ``inspected`` is the result of ``inspect``.
     """
-    rows = inspected.filter("verdict <> 'blank'").select("source", F.posexplode("lengths").alias("measure", "length"))
+    rows = _distinct_texts(inspected).select("source", F.posexplode("lengths").alias("measure", "length"))
     counts = rows.groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("texts"))
-    totals = counts.groupBy(F.col("source").alias("_source"), F.col("measure").alias("_measure")).agg(
-        F.sum("texts").alias("total"), F.max_by("length", F.struct("texts", "length")).alias("limit"), F.max("texts").alias("at_limit")
-    )
-    # lengths above the most frequent one, within the reach of a cut character, belong to it
-    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("measure") == F.col("_measure"))
-    longer = F.when(F.col("length") > F.col("limit") + BYTE_SLACK, F.col("texts")).otherwise(0)
+    group = lambda x: [F.col(c).alias(f"_{c}{x}") for c in ("source", "measure")]
+    same = lambda x: F.col("source").eqNullSafe(F.col(f"_source{x}")) & (F.col("measure") == F.col(f"_measure{x}"))
+    totals = counts.groupBy(*group(1)).agg(F.sum("texts").alias("total"))
+    bin_of = F.floor(F.col("length") / BIN)
+    around = F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("_bin")
+    near = counts.select("source", "measure", "texts", around).groupBy(*group(2), "_bin").agg(F.sum("texts").alias("near"))
+    likely = counts.filter(F.col("texts") >= MIN_AT_LIMIT).join(totals, same(1)).filter(F.col("texts") >= MIN_SHARE * F.col("total"))
     names = F.array(*[F.lit(m) for m in MEASURES])
+    beyond = counts.select("source", "measure", "texts", F.explode(F.sequence(F.col("length") - BEYOND, F.col("length") - 1)).alias("_at"))
+    beyond = beyond.groupBy(*group(3), "_at").agg(F.sum("texts").alias("beyond"))
+    likely = likely.join(beyond, same(3) & (F.col("length") == F.col("_at")), "left").filter(F.coalesce("beyond", F.lit(0)) * SPIKE <= F.col("texts") * BEYOND)
+    standing = likely.join(near, same(2) & (bin_of == F.col("_bin"))).filter((F.col("near") - F.col("texts")) * SPIKE <= F.col("texts") * (3 * BIN - 1))
+    rank = F.row_number().over(Window.partitionBy("source", "length").orderBy(F.desc("texts"), "measure"))  # seven rows at most
     return (
-        counts.join(totals, same)
-        .groupBy("source", "measure")
-        .agg(F.max("limit").alias("limit"), F.max("at_limit").alias("texts"), F.max("total").alias("total"), F.sum(longer).alias("longer"))
-        .filter((F.col("texts") >= MIN_AT_LIMIT) & (F.col("texts") >= MIN_SHARE * F.col("total")) & (F.col("longer") <= 0.01 * F.col("total")))
-        .select("source", F.element_at(names, F.col("measure") + 1).alias("measure"), "limit", "texts", (F.col("texts") / F.col("total")).alias("share"))
+        standing.withColumn("_rank", rank).filter("_rank = 1")
+        .select("source", F.element_at(names, F.col("measure") + 1).alias("measure"), F.col("length").alias("limit"), "texts", (F.col("texts") / F.col("total")).alias("share"))
     )
 
 
+#: Letters that UTF-8 bytes become under a code page of one byte.
+_MOJIBAKE = re.compile("[\u00c3\u00c2\u00e2\u00e3\u00e5-\u00e9\ufffd\u20ac]")
 _TAIL_BLANKS = re.compile("[\\s\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\x00-\x1f\x7f]+\\Z")
 _ENDS = re.compile(
     "[.!?\u2026\u3002\uff01\uff0e\uff1f\uff61\u0964\u061f\u06d4\u0f0d\u0f0e\u104a\u104b\u17d4\u17d5]"
@@ -86,16 +99,11 @@ _UNSPACED_ONE = re.compile("(?:" + "|".join(f"[{x}\u30fb\u30fc]+" for x in _UNSP
 WORD_SPACED, WORD_ONE_SCRIPT, WORD_MIXED = 64, 12, 6
 _ADDRESS_OR_HASH = re.compile(r"(?:(?:https?|ftp)://[!-~]+|[0-9a-f]+)\Z", re.I)
 _SEPARATOR = re.compile(r"(?:[-=_*~#+.\u2500-\u257f\u2014]\s?){3,}\Z")
-_FOOTERS = re.compile(
-    r"(?:(?:page|seite|p\u00e1gina) \d+ (?:of|de|von|/) ?\d+|(?:\(c\)|\u00a9|copyright)\s.*\d{4}.*|\^ ?top|(?:back|return|zur\u00fcck|volver|voltar|retour) (?:to|zu|zum|a|ao|au)\b.{0,40}"
-    r"|(?:last (?:updated|modified)|updated|stand)\b.{0,30}\d|best viewed .{0,40}|you are visitor\b.{0,20}\d+|--(?: \S.{0,40})?|EOF|(?:the )?end|crawl finished\b.{0,40}"
-    r"|(?:https?://|www\.)\S+/\S*\.\w{2,5}|[^.!?<>]{1,24}(?: \| [^.!?<>|]{1,24})+)\Z",
-    re.I,
-)
 _LOG = re.compile(r".*\s\d+ bytes\Z")
 _LISTING = re.compile(r"\S.*\s\d{1,2}-\w{3}-\d{4} \d\d:\d\d\s+(?:[\d.]+[KMGT]?B?|-)\Z")
 _OPEN_TAG = re.compile(r"<(?:[a-zA-Z/!][^<>]*)?\Z")
 #: The mark of a page at the start of a line or after another tag; in prose that tells of tags it stands elsewhere.
+_NAMES, _PLACES, _DIGITS = re.compile(r"\b[A-Z][a-z]{3,}\b"), re.compile(r"(?:https?://|www\.)\S+/(?:\S*\.\w{2,5})?(?=\s|\Z)", re.I), re.compile(r"\d+")
 _PAGE_LINE, _PAGE = re.compile(r"(?:^|>)[ \t]{0,99}<(?:html|body)[\s>]", re.I | re.M), re.compile("<(?:html|body)", re.I)
 _CLOSED_PAGE = re.compile(r"</(?:html|body)\s*>\Z", re.I)
 _SHORT_END = re.compile(r"(?:^|[.!?]\s+|\n)(?:[^\W\d_]+ )?[^\W\d_]+ \d+\.\Z")
@@ -116,27 +124,32 @@ def _single_word(end: str) -> bool:
     return len(word) <= (WORD_ONE_SCRIPT if _UNSPACED_ONE.match(word) else WORD_MIXED) and not re.search("[\u3002\uff01\uff0e\uff1f\uff61!?]", word[:-1])
 
 
-def _mended(text: str) -> str:
-    """The end of a text that was decoded with a wrong code page, decoded again; any other text as it is."""
-    tail = text[-64:]
+def _mended(line: str) -> str:
+    """A line that was decoded with a wrong code page, decoded again; any other line as it is."""
     for page in ("cp1252", "latin-1"):
         try:
-            raw = tail.encode(page)
+            raw = line.encode(page)
         except UnicodeEncodeError:
             continue
         fixed = raw.decode("utf-8", errors="ignore")
         if fixed and len(fixed) < len(raw):
-            return text[: len(text) - len(tail)] + fixed
-    return text
+            return fixed
+    return line
+
+
+def _template(line: str) -> str:
+    """A closing line with its addresses, names and numbers taken out, or as it stands if nothing else is left of it."""
+    out = _DIGITS.sub("9", _NAMES.sub("A", _PLACES.sub("U", line)))
+    return line if re.fullmatch(r"[\WA9]*", out) else out
 
 
 def ending(text: str | None) -> tuple[str, str]:
     """(verdict, template) of a text's end.
 
-    verdict: ``blank``; ``complete``; ``cut``: an open tag, or a line of a log or listing that lacks
-    the end which the lines above it have, or a sentence that stops in its middle; ``open``: the last line has no
-    end of a sentence and is no known footer, which is a cut unless many texts close with that line.
-    template is the whole last line with numbers and names taken out.
+    verdict: ``blank``; ``complete``; ``cut``: an open tag, a log line that lacks the end which the lines above it
+    have, or a sentence that plainly stops in its middle; ``open``: the last line has no end of a sentence, or of a
+    line of the listing above it, which is a cut unless many texts close with that line.
+    template is the whole last line with addresses, numbers and names taken out.
     """
     return _judged(text)[:2]
 
@@ -148,18 +161,19 @@ def _judged(text: str | None) -> tuple[str, str, str]:
     end = _TAIL_BLANKS.sub("", text)
     if not end:
         return "blank", "", ""
-    if any(c in end[-16:] for c in "\u00c3\u00c2\u00e2\u00e3\u00e5\u00e6\u00e7\u00e8\u00e9\ufffd\u20ac"):
-        end = _TAIL_BLANKS.sub("", _mended(end)) or end
+    start = max(end.rfind(c) for c in "\r\n\x0b\x0c\u2028\u2029") + 1
+    if _MOJIBAKE.search(end, start):
+        end = _TAIL_BLANKS.sub("", end[:start] + _mended(end[start:])) or end
     if _OPEN_TAG.match(end, max(end.rfind("<"), 0)) and not end.endswith("<>"):
         return "cut", "", ""
     lines = [x.strip() for x in re.split(r"[\r\n\x0b\x0c\u2028\u2029]+", end) if x.strip()]
     last = lines[-1]
-    template = re.sub(r"\b[A-Z][a-z]{3,}\b", "A", re.sub(r"\d+", "9", last))
-    if _PAGE.search(text, 0, 2048) or _PAGE_LINE.search(text) or text.lstrip().startswith("<") and _PAGE.search(text):
+    template = _template(last)
+    if _PAGE_LINE.search(text) or text.lstrip().startswith("<") and _PAGE.search(text):
         if _CLOSED_PAGE.search(end) or end.endswith(">"):
             return "complete", template, ""
         return "cut", template, ""
-    if _SEPARATOR.match(last) or _FOOTERS.match(last):
+    if _SEPARATOR.match(last):
         return "complete", template, ""
     if _single_word(end):
         return ("cut" if end[-1] in ",;:\u3001\uff0c\uff1a\uff1b" and len(end) > 1 else "complete"), template, ""
@@ -168,15 +182,17 @@ def _judged(text: str | None) -> tuple[str, str, str]:
     above = lines[-2] if len(lines) > 1 else ""
     if above and (_LOG.match(above) or _LISTING.match(above)):
         first = _LOG_START.match(last)
-        if first or len(last.split()) < len(above.split()) and (_LISTING.match(above) or not _ENDS.search(last)):
+        if first:
             return "cut", template, ""
+        if len(last.split()) < len(above.split()) and (_LISTING.match(above) or not _ENDS.search(last)):
+            return "open", template, end[: len(end) - len(last)]  # a line under the list, or one of it that lacks its end
     if len(lines) > 2 and len(above.split()) > 2:
         a, b, c = (x.split() for x in lines[-3:])
         if len(a) == len(b) and [_shape(x) for x in (a[0], a[-1])] == [_shape(x) for x in (b[0], b[-1])] and re.search(r"\d", a[-1] + a[0]):
             if len(c) == len(b) and _shape(c[-1]) == _shape(b[-1]):
                 return "complete", template, ""
     if _ENDS.search(end):
-        return ("cut" if _SHORT_END.search(end[-200:]) else "complete"), template, ""
+        return ("cut" if _SHORT_END.search(last) else "complete"), template, ""
     return "open", template, end[: len(end) - len(last)]
 
 
@@ -186,46 +202,74 @@ def _key(text: str) -> int:
 
 
 def inspect(df: DataFrame, *, text: str = "text", row_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(row_id, source, lengths, text_key, verdict, template, above) of each row, from its whole text.
+    """(row_id, source, lengths, text_key, verdict, template, above, goes_on) of each row, from its whole text.
 
-    text_key, template and above identify the text and, for open endings, its last line and what stands above it.
+    text_key, template and above identify the text and, for open endings, its last line and what stands above it;
+    goes_on says whether that line ends in a name, number or address, which may have been longer.
     """
     id_type = df.schema[row_id].dataType.simpleString()
-    names = ["row_id", "source", "lengths", "text_key", "verdict", "template", "above"]
+    names = ["row_id", "source", "lengths", "text_key", "verdict", "template", "above", "goes_on"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = [_judged(t) for t in b.column(4).to_pylist()]
             keys = [pa.array([_key(x[k]) if x[0] == "open" else None for x in seen], pa.int64()) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([x[0] for x in seen], pa.string()), *keys], names=names)
+            goes_on = pa.array([x[0] == "open" and x[1].endswith(("9", "A", "U")) for x in seen], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([x[0] for x in seen], pa.string()), *keys, goes_on], names=names)
 
     lengths = F.array(*[measures(F.col(text))[m].cast("long") for m in MEASURES])
     rows = df.select(F.col(row_id).alias("row_id"), F.col(source).alias("source"), lengths.alias("lengths"), F.xxhash64(text).alias("text_key"), text)
-    return rows.mapInArrow(look, f"row_id {id_type}, source string, lengths array<bigint>, text_key bigint, verdict string, template bigint, above bigint")
+    return rows.mapInArrow(look, f"row_id {id_type}, source string, lengths array<bigint>, text_key bigint, verdict string, template bigint, above bigint, goes_on boolean")
+
+
+def footers(inspected: DataFrame) -> DataFrame:
+    """(source, template, texts): closing lines that are no unfinished sentences, learned from their frequencies.
+
+    A line with an open ending is a footer if enough distinct texts close with it under different ones: of the corpus
+    (``source`` is then NULL and ``everywhere`` true), or of one source. Copies of one text count once there, and so do all
+    texts of that one line. At most ``1 / FOOTER_SHARE`` lines of the corpus, and of each source, can be that frequent.
+    """
+    texts = _distinct_texts(inspected)
+    totals = texts.groupBy(F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("_total"))
+    whole = texts.agg(F.countDistinct("text_key").alias("_total"))  # one row
+    lines = texts.filter("verdict = 'open'").select("source", "template", "above").distinct()
+    enough = lambda n, total: (n >= FOOTER_TEXTS) & (n >= FOOTER_SHARE * total)
+    own = lines.groupBy("source", "template").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= FOOTER_TEXTS)
+    own = own.join(totals, F.col("source").eqNullSafe(F.col("_source"))).filter(enough(F.col("texts"), F.col("_total")))
+    common = lines.groupBy("template").agg(F.countDistinct("above").alias("texts")).join(F.broadcast(whole)).filter(enough(F.col("texts"), F.col("_total")))
+    columns = ("template", "texts")
+    return own.select(F.lit(False).alias("everywhere"), "source", *columns).unionByName(common.select(F.lit(True).alias("everywhere"), F.lit(None).cast("string").alias("source"), *columns))
 
 
 def judge(inspected: DataFrame) -> DataFrame:
     """(row_id, source, cut, at_limit) of each text that is not blank, from the result of ``inspect``, written as a table.
 
-    Limits are found from the lengths of all texts. An ending that is open is a footer if enough of all
-    distinct texts close with the same whole line under different ones and the text is not at a limit of its source;
-    else the text is cut. Copies of one text count once there, and so do all texts of that one line.
-    A complete ending at a limit is no cut, it may be a text that was padded. NULL and blank texts do
-    not come out; repeated rows come out as often as they are stored; an empty table gives none.
+    Limits are found from the lengths of all texts. An ending that is open is a footer if enough distinct texts of the
+    corpus or of its source close with the same whole line under different ones. Where that line ends in a name, number or
+    address, a text at a limit of its source is cut, since the limit explains the ending; so is any other text with an
+    open ending. A complete ending at a limit is no cut, it may be a
+    text that was padded. NULL and blank texts do not come out; repeated rows come out as often as they are stored; an
+    empty table gives none.
     """
     seen = inspected.filter("verdict <> 'blank'")
-    total = seen.agg(F.countDistinct("text_key")).first()[0]
     known = hidden_limits(inspected).select(
         F.col("source").alias("_source"), F.struct((F.array_position(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure"))).cast("int").alias("at"), "limit").alias("_limit")
     )
-    limits = known.groupBy("_source").agg(F.collect_list("_limit").alias("_limits"))  # at most one per measure
-    hit = lambda x: F.element_at(F.col("lengths"), x["at"]).between(x["limit"] - BYTE_SLACK, x["limit"])
-    # at most 1 / FOOTER_SHARE lines can be that frequent, so they are few whatever the corpus
-    footers = (
-        seen.filter("verdict = 'open'").groupBy(F.col("template").alias("_footer")).agg(F.countDistinct("above").alias("_n"))
-        .filter(F.col("_n") >= max(FOOTER_TEXTS, FOOTER_SHARE * total)).select("_footer")
-    )
-    rows = seen.join(limits, F.col("source").eqNullSafe(F.col("_source")), "left").join(F.broadcast(footers), F.col("template") == F.col("_footer"), "left")
+    limits = known.groupBy("_source").agg(F.collect_list("_limit").alias("_limits"))  # at most 1 / MIN_SHARE per measure
+
+    def hit(x: Column) -> Column:
+        slack = F.element_at(F.array(*[F.lit(BYTE_SLACK if m.endswith("bytes") else 0) for m in MEASURES]), x["at"])
+        return F.element_at(F.col("lengths"), x["at"]).between(x["limit"] - slack, x["limit"])
+
+    learned = footers(inspected)
+    own = learned.filter("not everywhere").select(F.col("source").alias("_own"), F.col("template").alias("_t1"))
+    common = learned.filter("everywhere").select(F.col("template").alias("_t2"))  # at most 1 / FOOTER_SHARE
+    rows = (
+        seen.join(limits, F.col("source").eqNullSafe(F.col("_source")), "left")
+        .join(F.broadcast(common), F.col("template") == F.col("_t2"), "left")
+        .join(own, F.col("source").eqNullSafe(F.col("_own")) & (F.col("template") == F.col("_t1")), "left")
+    )
     at_limit = F.coalesce(F.exists("_limits", hit), F.lit(False))
-    cut = (F.col("verdict") == "cut") | (F.col("verdict") == "open") & (F.col("_footer").isNull() | at_limit)
+    footer = F.col("_t1").isNotNull() | F.col("_t2").isNotNull()
+    cut = (F.col("verdict") == "cut") | (F.col("verdict") == "open") & (~footer | at_limit & F.col("goes_on"))
     return rows.select("row_id", "source", cut.alias("cut"), at_limit.alias("at_limit"))
