@@ -19,13 +19,13 @@ from capturelake.session import materialise, qualified, remove_at_end, shared_di
 #: Running words of an item that make a leak.
 RUN = 13
 #: Words of a passage; passages overlap by RUN - 1 words, so that each run lies in one.
-PASSAGE = 40
+PASSAGE = 26
 #: Items of a block, for which one upper bound per term is kept.
 BLOCK = 8
 #: Words of the items of a shard of the index, which is what a worker holds at once; there are as many shards as it takes.
 SHARD_WORDS = 1 << 20
 #: Shards that a worker keeps after use, and characters of the documents that it searches at once.
-_KEPT_SHARDS, _HELD = 4, 4 << 20
+_KEPT_SHARDS, _HELD = 4, 1 << 20
 #: Bounds of passages and blocks that are held at once.
 _BOUNDS = 1 << 21
 
@@ -133,14 +133,14 @@ class Index:
         starts = np.cumsum(sizes) - sizes
         at = _spans(starts, sizes - run + 1)
         owner = np.repeat(np.arange(n), sizes - run + 1)
-        posting = terms * n + self.items  # sorted, as the postings are
+        self.posting_key = terms * n + self.items  # sorted, as the postings are
         least = np.full(self.blocks * BLOCK, np.inf)
         scores = np.zeros(len(at))
         window = np.stack([self.words[at + k] for k in range(run)], axis=1) if len(at) else np.zeros((0, run), np.int64)
         ordered = np.sort(window, axis=1)
         for k in range(run):  # each distinct word counts once
             new = np.ones(len(at), bool) if k == 0 else ordered[:, k] != ordered[:, k - 1]
-            scores += np.where(new, self.weights[np.searchsorted(posting, ordered[:, k] * n + owner)], 0.0)
+            scores += np.where(new, self.weights[np.searchsorted(self.posting_key, ordered[:, k] * n + owner)], 0.0)
         np.minimum.at(least, owner, scores)
         self.least = least * 0.9999 - 1e-4
         self.block_least = self.least.reshape(self.blocks, BLOCK).min(axis=1)
@@ -167,8 +167,8 @@ class Index:
 
         ``terms`` are the distinct known terms of each passage, in order of ``passages``. For a batch of passages at once:
         terms whose bounds together stay below the least threshold of all cannot lift an item over it alone, so
-        only the blocks in the lists of the others are met (the pivot); a block whose bound stays below its least
-        threshold is skipped; the items of what is left are scored.
+        only the lists of the others are met (the pivot); a block whose bound stays below its least threshold is
+        skipped; the items of what is left are scored, and those that can still reach theirs get the weights of the rest.
         """
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(terms) or not len(self.ids):
@@ -188,29 +188,28 @@ class Index:
         group = np.repeat(np.arange(len(first)), size)
         n = self.entries[terms[e] + 1] - self.entries[terms[e]]
         at = _spans(self.entries[terms[e]], n)
-        bounds = np.bincount(np.repeat(group[e], n) * self.blocks + self.block_of[at], weights=self.block_max[at], minlength=len(first) * self.blocks)
-        keys = np.flatnonzero((bounds.reshape(-1, self.blocks) + rest_sum[:, None] >= self.block_least) & (bounds.reshape(-1, self.blocks) > 0))
-        bound = bounds[keys]
-        # the bounds of the other terms in the blocks that are left
-        g, b = keys // self.blocks, keys % self.blocks
-        owner = np.repeat(np.arange(len(keys)), rest[g])
-        entry, known = self._find(terms[_spans(first[g], rest[g])] * self.blocks + b[owner])
-        bound += np.bincount(owner[known], weights=self.block_max[entry[known]], minlength=len(keys))
-        left = np.flatnonzero(bound >= self.block_least[b])
-        g, b = g[left], b[left]
-        # scores of the items of these blocks
-        owner = np.repeat(np.arange(len(g)), size[g])
-        entry, known = self._find(terms[_spans(first[g], size[g])] * self.blocks + b[owner])
-        entry, owner = entry[known], owner[known]
-        n = self.entry_size[entry]
-        at = _spans(self.entry[entry], n)
-        scores = np.bincount(np.repeat(owner, n) * BLOCK + self.items[at] % BLOCK, weights=self.weights[at], minlength=len(g) * BLOCK).reshape(-1, BLOCK)
-        k, i = np.nonzero(scores >= self.least.reshape(-1, BLOCK)[b])
-        return passages[first[g[k]]], b[k] * BLOCK + i
-
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.entry_key, keys), len(self.entry_key) - 1)
-        return at, self.entry_key[at] == keys
+        keys = np.repeat(group[e], n) * self.blocks + self.block_of[at]
+        bounds = np.bincount(keys, weights=self.block_max[at], minlength=len(first) * self.blocks)
+        live = np.flatnonzero((bounds.reshape(-1, self.blocks) + rest_sum[:, None] >= self.block_least) & (bounds.reshape(-1, self.blocks) > 0))
+        # scores of the items of the blocks that are left, by the lists met
+        place = np.full(len(bounds), -1, dtype=np.int64)
+        place[live] = np.arange(len(live))
+        owner = place[keys]
+        at, owner = at[owner >= 0], owner[owner >= 0]
+        n = self.entry_size[at]
+        posting = _spans(self.entry[at], n)
+        scores = np.bincount(np.repeat(owner, n) * BLOCK + self.items[posting] % BLOCK, weights=self.weights[posting], minlength=len(live) * BLOCK)
+        g, b = live // self.blocks, live % self.blocks
+        hit = np.flatnonzero((scores.reshape(-1, BLOCK) + rest_sum[g, None] >= self.least.reshape(-1, BLOCK)[b]) & (scores.reshape(-1, BLOCK) > 0))
+        g, item, score = g[hit // BLOCK], b[hit // BLOCK] * BLOCK + hit % BLOCK, scores[hit]
+        # the weights of the other terms in the items that may still come over their thresholds
+        owner = np.repeat(np.arange(len(g)), rest[g])
+        wanted = terms[_spans(first[g], rest[g])] * len(self.ids) + item[owner]
+        posting = np.minimum(np.searchsorted(self.posting_key, wanted), len(self.posting_key) - 1)
+        known = self.posting_key[posting] == wanted
+        score = score + np.bincount(owner[known], weights=self.weights[posting[known]], minlength=len(g))
+        found = score >= self.least[item]
+        return passages[first[g[found]]], item[found]
 
     def leaks(self, texts: list[list[str]]) -> Iterator[tuple[int, int]]:
         """(text number, item id) of all leaks in texts given as words: candidates of each passage, verified word by word."""
@@ -285,7 +284,7 @@ def leaks(
 ) -> DataFrame:
     """(row_id, item_id): each document and each item of which at least ``run`` running words stand in its text.
 
-    Every document is cut into passages of 40 words that overlap by ``run - 1``; each passage is a query
+    Every document is cut into passages of 26 words that overlap by ``run - 1``; each passage is a query
     against a BM25 index of the items. An item's threshold is the least score which a passage with a run
     of it can have, so that the retrieval loses nothing, and candidates are verified word by word. Items
     shorter than ``run`` words, and NULL or empty texts, have no leaks; a pair comes out once for each row of the
