@@ -71,6 +71,7 @@ MAGIC = (
     ("png", "89504E47"), ("jpeg", "FFD8FF"), ("gif", "47494638"), ("zip", "504B0304"), ("rar", "52617221"), ("gzip", "1F8B"),
     ("pdf", "25504446"), ("exe", "4D5A"), ("mp3", "494433"), ("mp3", "FFFB"), ("ogg", "4F676753"), ("flac", "664C6143"),
     ("riff", "52494646"), ("midi", "4D546864"), ("swf", "465753"), ("swf", "435753"), ("7z", "377ABCAF271C"), ("bmp", "424D"),
+    ("mkv", "1A45DFA3"), ("ole", "D0CF11E0"),
 )
 
 
@@ -80,6 +81,8 @@ def magic_type(body: Column) -> Column:
     for name, prefix in reversed(MAGIC):
         n = len(prefix) // 2
         out = F.when(F.hex(F.substring(body, 1, n)) == prefix, F.lit(name)).otherwise(out)
+    # the name of the format stands behind the size of the first box
+    out = F.when(F.hex(F.substring(body, 5, 4)) == "66747970", "mp4").otherwise(out)
     return F.when(body.isNotNull(), out)
 
 

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import urljoin as _urljoin
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Extension to category, in order of precedence; an extension belongs to the first category that lists it.
 CATEGORIES = (
@@ -92,33 +89,54 @@ def category(ext: Column) -> Column:
 def resolve(url: Column, base: Column) -> Column:
     """Absolute form of a link: NULL for '', ``data:`` and ``javascript:`` links, and for relative ones without a base.
 
-    ``//x`` becomes ``http://x`` and absolute links stay. Only links relative to a directory
-    go through the standard library, in Arrow batches.
+    ``//x`` becomes ``http://x`` and absolute links stay; a path from the root is put behind the base's host as it stands.
     """
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     return (
-        F.when(url.isNull() | (url == "") | F.lower(url).rlike(r"^(?:data|javascript):"), None)
+        F.when(url.isNull() | (url == "") | url.startswith("data:") | url.startswith("javascript:"), None)
         .when(url.startswith("//"), F.concat(F.lit("http:"), url))
-        .when(url.rlike("^https?://"), url)
+        .when(url.startswith("http"), url)
         .when(base.isNull() | (base == ""), None)
-        .when(url.startswith("/"), F.concat(root, url))
+        .when(url.startswith("/"), F.concat(F.regexp_extract(base, _ROOT, 1), url))
         .otherwise(urljoin(base, url))
     )
 
 
-@F.pandas_udf(T.StringType())
-def urljoin(base: pd.Series, url: pd.Series) -> pd.Series:
-    """RFC 3986 resolution, with dot segments; NULL if either is NULL or not parseable."""
+_ROOT = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 
-    def one(b: str | None, u: str | None) -> str | None:
-        if b is None or u is None:
-            return None
-        try:
-            return _urljoin(b, u)
-        except ValueError:
-            return None
 
-    return pd.Series([one(b, u) for b, u in zip(base, url)], dtype=object)
+def _steps(path: Column, empty: bool) -> Column:
+    """A path from the root without '.' and '..' segments, and without empty ones unless ``empty``; a slash at its end stays."""
+    names = F.filter(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda x: x != "." if empty else ~x.isin("", "."))
+    step = lambda kept, x: F.when(x != "..", F.array_append(kept, x)).otherwise(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+    kept = F.when(path.contains(".."), F.aggregate(names, F.array().cast("array<string>"), step)).otherwise(names)
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(path.rlike(r"/\.{1,2}\z" if empty else r"/\.{0,2}\z") & (joined != "/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def urljoin(base: Column, url: Column) -> Column:
+    """RFC 3986 resolution against a hierarchical base, with dot segments, in native expressions; NULL if either is NULL.
+
+    An empty link gives the base; one with another scheme, or against a base without a host, stays as it is. White space and
+    control characters before a link, and tabs and line ends in it, do not count. Empty queries and fragments
+    are dropped, as are empty segments of a relative path.
+    """
+    root, scheme = F.regexp_extract(base, _ROOT, 1), F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    base_path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    link = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+    own, tail = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_replace(F.regexp_extract(link, r"(?s)^[^?#]*(.*)\z", 1), r"^\?(?=#|\z)|#\z", "")
+    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
+    named = F.lower(F.regexp_extract(link, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return F.when(url.isNotNull(), F.when(base.isNotNull(), (
+        F.when(url == "", base)
+        .when((root == "") | (named != "") & (named != scheme), url)
+        .when(link == "", F.substring_index(base, "#", 1))
+        .when(named != "", F.concat(scheme, F.regexp_replace(link, r"^[^:]*", "")))
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("#"), F.concat(F.substring_index(base, "#", 1), tail))
+        .when(link.startswith("?"), F.concat(root, base_path, tail))
+        .when(own.startswith("/"), F.concat(root, _steps(own, True), tail))
+        .otherwise(F.concat(root, _steps(F.concat(F.when(folder == "", "/").otherwise(folder), own), False), tail))
+    )))
 
 
 def merge_key(url: Column) -> Column:

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from capturelake.functions import urls
 
-# Marks of server software in a page or path, in order.
-SERVER_MARKS = (
-    ("PHP", r"(?i)\.php\b|x-powered-by: php"), ("ASP", r"(?i)\.aspx?\b"), ("CGI", r"(?i)\.cgi\b|/cgi-bin/"), ("JSP", r"(?i)\.jsp\b"),
-    ("Apache", r"(?i)apache/|index of /"), ("nginx", r"(?i)nginx"), ("WordPress", r"(?i)wp-content|wp-includes"), ("phpBB", r"(?i)phpbb|viewtopic\.php"),
+# Marks of server software in a url, in order.
+URL_MARKS = (
+    ("PHP", r"(?i)\.php\b"), ("ASP", r"(?i)\.aspx?\b"), ("CGI", r"(?i)\.cgi\b|/cgi-bin/"), ("JSP", r"(?i)\.jsp\b"), ("WordPress", r"(?i)wp-content|wp-includes"), ("phpBB", r"(?i)phpbb|viewtopic\.php"),
 )
+# Names that a page's clues give, and of a page without any.
+CLUES = (
+    ("Microsoft FrontPage", "FrontPage|vti_cnf|_vti_bin"), ("Macromedia Dreamweaver", "(?is)generator.*dreamweaver|dreamweaver.*generator"), ("WordPress", "wp-content|(?i:wordpress)"),
+    ("phpBB Forum", "phpBB"), ("vBulletin Forum", "vBulletin"),
+)
+NO_CLUE = "Unknown (likely hand-coded HTML)"
 
 # Words of a topic, in order of precedence at a tie.
 TOPICS = (
@@ -21,17 +26,21 @@ TOPICS = (
 )
 
 
-def server_software(text: Column) -> Column:
-    """Names of all software that a text shows marks of, joined by comma and blank; 'unknown' if none, or for NULL."""
-    found = F.concat_ws(", ", *[F.when(text.rlike(p), F.lit(n)) for n, p in SERVER_MARKS])
-    return F.when(found != "", found).otherwise("unknown")
+def server_software(page: Column) -> Column:
+    """Names of all software that a page shows clues of, joined by comma and blank, with what it says it is powered by or generated with."""
+    text = F.coalesce(page, F.lit(""))
+    powered = F.substring(F.trim(F.regexp_extract(text, r"Powered by\s+([A-Za-z0-9\s]+)", 1)), 1, 30)
+    generator = F.substring(F.trim(F.regexp_extract(text, r"(?i)<meta\s+name=[\"']generator[\"']\s+content=[\"']([^\"']+)", 1)), 1, 40)
+    values = [F.when(powered != "", powered), F.when(F.lower(text).contains('<meta name="generator"') & (generator != ""), generator)]
+    found = F.concat_ws(", ", *[F.when(text.rlike(p), F.lit(n)) for n, p in CLUES], *values)
+    return F.when(found != "", found).otherwise(NO_CLUE)
 
 
-def site_topic(text: Column) -> Column:
+def site_topic(text: Column, topics: tuple[tuple[str, str], ...] = TOPICS) -> Column:
     """The topic with most of its words present in a text; the first listed at a tie, 'general' if none is."""
     low = F.lower(F.coalesce(text, F.lit("")))
     scores = []
-    for k, (name, words) in enumerate(TOPICS):
+    for k, (name, words) in enumerate(topics):
         score = sum((low.contains(w).cast("int") for w in words.split()), F.lit(0))
         scores.append(F.struct(score.alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name")))
     best = F.array_max(F.array(*scores))
@@ -73,14 +82,14 @@ def site_profile(captures: DataFrame) -> DataFrame:
     """
     u = F.col("url")
     rows = captures.select("domain", "url").distinct().withColumn("_ext", urls.extension_of_file(u)).withColumn("_years", urls.years_in(u))
-    marks = [F.max(u.rlike(p)).alias(f"_m{i}") for i, (_, p) in enumerate(SERVER_MARKS)]
+    marks = [F.max(u.rlike(p)).alias(f"_m{i}") for i, (_, p) in enumerate(URL_MARKS)]
     words = [(k, w) for k, (_, ws) in enumerate(TOPICS) for w in ws.split()]
     seen = [F.max(F.lower(u).contains(w)).cast("int").alias(f"_w{i}") for i, (_, w) in enumerate(words)]
     per = rows.groupBy("domain").agg(
         F.count(F.lit(1)).alias("urls"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("_ext") != "", F.col("_ext")))), ",").alias("extensions"),
         F.min("_years.first").alias("first_year"), F.max("_years.last").alias("last_year"), *marks, *seen,
     )
-    software = F.concat_ws(", ", *[F.when(F.col(f"_m{i}"), F.lit(n)) for i, (n, _) in enumerate(SERVER_MARKS)])
+    software = F.concat_ws(", ", *[F.when(F.col(f"_m{i}"), F.lit(n)) for i, (n, _) in enumerate(URL_MARKS)])
     scores = []
     for k, (name, _) in enumerate(TOPICS):
         score = sum((F.col(f"_w{i}") for i, (t, _) in enumerate(words) if t == k), F.lit(0))
@@ -114,6 +123,34 @@ def badge(ext: Column, confidence: Column, category: Column, rare: list[str]) ->
     )
 
 
+#: Neutral places that sites of a kind have: (mark of the software, or '' for any site, path, confidence, reason).
+PATH_RULES = (
+    ("WordPress", "/wp-content/uploads/", 0.7, "default directory"), ("phpBB", "/attachments/", 0.7, "upload directory"), ("", "/files/", 0.5, "file storage"), ("", "/media/", 0.5, "media files"),
+    ("", "/downloads/", 0.5, "downloads section"), ("", "/archive/", 0.45, "archived content"), ("", "/assets/", 0.4, "static assets"),
+)
+
+
+def path_predictions(captures: DataFrame, rules: tuple[tuple[str, str, float, str], ...] = PATH_RULES, year_confidence: float = 0.6) -> DataFrame:
+    """(domain, path, confidence, reason): paths that a domain's urls suggest and that it is not known to have.
+
+    Candidates are the rules of the software that its urls show, then the paths of ``year_predictions``; of equal paths the
+    first one stays. Known paths are those of the captures; only these are compared, nothing is fetched.
+    """
+    u = F.col("url")
+    known = captures.filter(u.isNotNull()).select("domain", "url").distinct()
+    flags = known.groupBy("domain").agg(*[F.max(u.rlike(p)).alias(f"_m{i}") for i, (_, p) in enumerate(URL_MARKS)])
+    place = {n: i for i, (n, _) in enumerate(URL_MARKS)}
+    row = lambda k, path, conf, why: F.struct(F.lit(k).alias("seq"), F.lit(path).alias("path"), F.lit(conf).alias("confidence"), F.lit(why).alias("reason"))
+    held = F.array_compact(F.array(*[F.when(F.col(f"_m{place[m]}") if m else F.lit(True), row(k, p, c, r)) for k, (m, p, c, r) in enumerate(rules)]))
+    ruled = flags.select("domain", F.explode(held).alias("x")).select("domain", "x.*")
+    years = year_predictions(captures.filter(u.isNotNull())).select(
+        "domain", F.lit(len(rules)).alias("seq"), urls.path(F.col("predicted")).alias("path"), F.lit(year_confidence).alias("confidence"), F.lit("year series").alias("reason")
+    )
+    first = ruled.unionByName(years).groupBy("domain", "path").agg(F.min(F.struct("seq", "confidence", "reason")).alias("x"))
+    paths = known.select("domain", urls.path(u).alias("path")).distinct()
+    return first.join(paths, ["domain", "path"], "left_anti").select("domain", "path", "x.confidence", "x.reason")
+
+
 def year_predictions(captures: DataFrame) -> DataFrame:
     """Urls that the years in known urls suggest, two before to two after, that are not known themselves: (domain, url, predicted).
 

@@ -36,21 +36,8 @@ def hrefs(page: Column) -> Column:
 
 
 def links(page: Column, base: Column) -> Column:
-    """Absolute forms of the href values; links that have none are left out. Only for bases that are absolute urls."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/(?:[^/?#]*/)*)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-
-    def absolute(u: Column) -> Column:
-        return (
-            F.when(F.lower(u).rlike(r"^(?:data|javascript|mailto|about):") | u.startswith("#"), None)
-            .when(u.startswith("//"), F.concat(F.lit("http:"), u))
-            .when(u.rlike("^https?://"), u)
-            .when(u.startswith("/"), F.concat(root, u))
-            .otherwise(F.concat(folder, u))
-        )
-
-    return distinct_in_order(F.filter(F.transform(hrefs(page), absolute), lambda u: u.isNotNull()))
+    """Absolute forms of the href values; links that have none are left out; distinct, in order."""
+    return distinct_in_order(F.filter(F.transform(hrefs(page), lambda u: urls.resolve(u, base)), lambda u: u.isNotNull()))
 
 
 def file_urls(text: Column) -> Column:
@@ -61,35 +48,54 @@ def file_urls(text: Column) -> Column:
     return distinct_in_order(F.concat(absolute, relative, keyed))
 
 
-def media_urls(page: Column) -> Column:
-    """Map from kind (audio, image, video, embed, iframe, thumbnail) to the distinct urls of that kind, in page order.
+# Places of media in a page, by bucket: the attribute and the extensions of its value, in order.
+_IMAGE, _LAZY, _SOUND = "jpg|jpeg|png|gif|webp|bmp|tiff|svg", "jpg|jpeg|png|gif|webp", "mp3|wav|flac|ogg|aac|m4a|wma|mid|midi"
+MEDIA_PLACES = {
+    "images": [("src", _IMAGE), ("src='", _IMAGE), ("data-src", _LAZY), ("data-original", _LAZY), ("data-lazy", _LAZY), ("background-image", _LAZY), ("href", _LAZY + "|bmp")],
+    "videos": [
+        ("src", "mp4|avi|mkv|wmv|flv|mov|webm|m4v|mpg|mpeg"), ("href", "mp4|avi|mkv|wmv|flv|mov|webm|m4v"), ("data-src", "mp4|webm|m4v"), ("<source", "mp4|webm|ogg"),
+    ],
+    "audio": [("src", _SOUND), ("href", _SOUND)],
+    "documents": [("href", "pdf|doc|docx|xls|xlsx|ppt|pptx|txt|csv|rtf")],
+    "archives": [("href", "zip|rar|7z|tar|gz|bz2|tgz")],
+    "other": [("src", "swf|dcr|dir"), ("data", "swf|dcr|dir"), ("value", "swf|dcr|dir")],
+}
 
-    A linked image does not come out again as a plain one.
-    """
-    linked = _all(page, r"(?i)<a[^>]+href=[\"']([^\"']+\.(?:jpe?g|png|gif|webp|bmp))[\"'][^>]*>\s*<img")
-    inner = _all(page, r"(?i)<a[^>]+href=[\"'][^\"']+[\"'][^>]*>\s*<img[^>]+src=[\"']([^\"']+)[\"']")
-    images = _all(page, r"(?i)<img[^>]+src=[\"']([^\"']+)[\"']")
-    kinds = {
-        "audio": _all(page, r"(?i)[\"']([^\"'\s<>]+\.(?:mp3|ogg|wav|mid|midi|m4a|flac)(?:\?[^\"']*)?)[\"']"),
-        "video": _all(page, r"(?i)[\"']([^\"'\s<>]+\.(?:mp4|webm|avi|mov|flv|wmv|mkv|mpg)(?:\?[^\"']*)?)[\"']"),
-        "image": F.array_except(images, inner),
-        "linked_image": linked,
-        "embed": _all(page, r"(?i)<(?:embed|object)[^>]+(?:src|data)=[\"']([^\"']+)[\"']"),
-        "iframe": _all(page, r"(?i)<iframe[^>]+src=[\"']([^\"']+)[\"']"),
-    }
-    return F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), distinct_in_order(v))])
+
+def _media_pattern(place: str, extensions: str) -> str:
+    if place == "background-image":
+        return rf"(?i)background-image:\s*url\([\"']?([^\"')\s]+\.(?:{extensions}))[\"']?\)"
+    if place == "<source":
+        return rf'(?i)<source[^>]*src="([^"]*\.(?:{extensions})[^"]*)"'
+    quote, name = ("'", place[:-2]) if place.endswith("='") else ('"', place)
+    return rf"(?i){name}={quote}([^{quote}]*\.(?:{extensions})[^{quote}]*){quote}"
+
+
+def media_urls(page: Column, base: Column) -> Column:
+    """Map from bucket (images, videos, audio, documents, archives, other) to its distinct urls, resolved, in order."""
+
+    def bucket(places: list[tuple[str, str]]) -> Column:
+        found = F.flatten(F.array(*[_all(page, _media_pattern(*p)) for p in places]))
+        return distinct_in_order(F.filter(F.transform(found, lambda u: urls.resolve(u, base)), lambda u: u.isNotNull()))
+
+    return F.create_map(*[x for k, places in MEDIA_PLACES.items() for x in (F.lit(k), bucket(places))])
 
 
 def forum_fields(page: Column) -> Column:
-    """Struct of a thread page: subjects, posts, images (each stands twice), names without Anonymous, first dates, replies."""
-    replies = F.transform(_all(page, r"(?is)<blockquote[^>]*>(.*?)</blockquote>"), lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", "")))
+    """Struct of a thread page: subjects, posts, images (each stands twice), names without Anonymous, first dates, replies.
+
+    The five dates and twenty replies are what the report shows; the counts are of the whole page.
+    """
+    trimmed = lambda xs: F.filter(F.transform(xs, lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")), lambda x: x != "")
+    bare = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, "<[^>]+>", " ")), r"\s+", " ")
+    replies = F.transform(F.slice(_all(page, r"(?s)<blockquote>(.*?)</blockquote>"), 1, 20), bare)
     return F.struct(
-        distinct_in_order(_all(page, r"(?i)<span class=\"subject\">([^<]+)</span>")).alias("subjects"),
-        F.regexp_count(page, F.lit(r"(?i)class=\"[^\"]*\bpost\b")).alias("posts"),
-        F.floor(F.regexp_count(page, F.lit(r"(?i)\bfileThumb\b|<img[^>]+src=")) / 2).cast("int").alias("images"),
-        F.array_remove(distinct_in_order(_all(page, r"(?i)<span class=\"name\">([^<]+)</span>")), "Anonymous").alias("names"),
-        F.slice(_all(page, r"(\d{2}/\d{2}/\d{2}(?:\(\w{3}\))?\d{2}:\d{2}(?::\d{2})?)"), 1, 5).alias("dates"),
-        F.slice(F.transform(F.filter(replies, lambda r: F.length(r) > 10), lambda r: F.substring(r, 1, 200)), 1, 20).alias("replies"),
+        trimmed(_all(page, r'class="[^"]*(?:subject|filetitle)[^"]*"[^>]*>([^<]+)<')).alias("subjects"),
+        F.regexp_count(page, F.lit(r'class="[^"]*(?:post|reply|postblock)[^"]*"')).alias("posts"),
+        F.floor(F.regexp_count(page, F.lit(r"(?i)\.jpg|\.jpeg|\.png|\.gif")) / 2).cast("int").alias("images"),
+        F.array_remove(distinct_in_order(trimmed(_all(page, r'class="[^"]*(?:postername|name)[^"]*"[^>]*>([^<]+)<'))), "Anonymous").alias("names"),
+        F.slice(_all(page, r"(\d{2}/\d{2}/\d{2,4}\s*\(\w+\)\s*\d{2}:\d{2})"), 1, 5).alias("dates"),
+        F.transform(F.filter(replies, lambda r: F.length(r) > 10), lambda r: F.substring(r, 1, 200)).alias("replies"),
     )
 
 
@@ -99,17 +105,21 @@ def asset_hosts(page: Column, main_domain: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(hosts, lambda h: ~h.contains(main_domain))))
 
 
-#: Kinds of content hosts by what their names hold; first match wins.
-HOST_KINDS = [
-    ("object_store", r"s3[.-].*amazonaws\.com|storage\.googleapis\.com|blob\.core\.windows\.net|digitaloceanspaces\.com"),
-    ("edge", r"cloudfront\.net|fastly\.net|akamai|cloudflare|edgecast|cdn77|bunnycdn|b-cdn\.net|keycdn"),
-    ("mirror", r"^(?:mirror|ftp|dl|files|downloads?)\."),
-    ("static", r"^(?:cdn|static|assets|media|img|images)\d*\."),
-]
+# Kinds of content hosts with the pattern of their addresses behind the scheme, in order; the first match wins.
+HOST_KINDS = (
+    ("aws_s3", r"[a-z0-9.-]+\.s3[.-](?:[a-z0-9-]+)?\.amazonaws\.com/."), ("aws_s3_path", r"s3[.-](?:[a-z0-9-]+)?\.amazonaws\.com/[a-z0-9.-]+/."), ("azure_blob", r"[a-z0-9]+\.blob\.core\.windows\.net/[^/]+/."),
+    ("gcs", r"storage\.googleapis\.com/[^/]+/."), ("gcs_cname", r"[a-z0-9.-]+\.storage\.googleapis\.com/."), ("cloudflare_r2", r"[a-z0-9]+\.r2\.cloudflarestorage\.com/."),
+    ("do_spaces", r"[a-z0-9.-]+\.digitaloceanspaces\.com/."), ("do_spaces_cdn", r"[a-z0-9.-]+\.cdn\.digitaloceanspaces\.com/."), ("cloudinary", r"res\.cloudinary\.com/[^/]+/."),
+    ("imgix", r"[a-z0-9.-]+\.imgix\.net/."), ("akamai", r"[a-z0-9.-]+\.akamaized\.net/."), ("akamai_hd", r"[a-z0-9.-]+\.akamaihd\.net/."), ("fastly", r"[a-z0-9.-]+\.fastly\.net/."),
+    ("cloudfront", r"[a-z0-9]+\.cloudfront\.net/."), ("bunnycdn", r"[a-z0-9.-]+\.b-cdn\.net/."),
+    ("generic_cdn", r"cdn[0-9]*\.[a-z0-9.-]+/."), ("generic_static", r"static[0-9]*\.[a-z0-9.-]+/."), ("generic_media", r"media[0-9]*\.[a-z0-9.-]+/."), ("generic_assets", r"assets[0-9]*\.[a-z0-9.-]+/."),
+    ("generic_files", r"files[0-9]*\.[a-z0-9.-]+/."), ("generic_dl", r"dl[0-9]*\.[a-z0-9.-]+/."), ("generic_download", r"download[0-9]*\.[a-z0-9.-]+/."), ("generic_upload", r"uploads?\.[a-z0-9.-]+/."),
+    ("generic_content", r"content[0-9]*\.[a-z0-9.-]+/."),
+)
 
 
 def host_kind(url: Column) -> Column:
-    return urls.ordered_class(urls.domain(url), HOST_KINDS, "other")
+    return urls.ordered_class(url, [(name, f"(?i)https?://{pattern}") for name, pattern in HOST_KINDS], "other")
 
 
 def content_urls(page: Column) -> Column:
@@ -118,21 +128,61 @@ def content_urls(page: Column) -> Column:
     return F.filter(F.transform(found, lambda u: F.struct(u.alias("url"), host_kind(u).alias("kind"))), lambda x: x["kind"] != "other")
 
 
-def api_mentions(page: Column) -> Column:
-    """Endpoints named in scripts: the paths given to fetch, get, post, ajax and open, and texts that look like an API path."""
-    calls = _all(page, r"(?i)(?:fetch|axios\.\w+|\$\.(?:get|post|getJSON|ajax))\(\s*[\"'`]([^\"'`]+)[\"'`]")
-    opened = _all(page, r"(?i)\.open\(\s*[\"'][A-Z]+[\"']\s*,\s*[\"']([^\"']+)[\"']")
-    paths = _all(page, r"[\"'`](/(?:api|v\d+|graphql|rest)/[^\"'`\s]*)[\"'`]")
-    return distinct_in_order(F.concat(calls, opened, paths))
+# Places where scripts name the endpoints that they call; each pattern has one group.
+API_PLACES = (
+    r"[\"'](/api/v[0-9]+/[a-zA-Z/]+)[\"']", r"[\"'](/_api/[a-zA-Z/]+)[\"']", r"fetch\s*\(\s*[\"'`]([^\"'`]+)[\"'`]", r"axios\.[a-z]+\s*\(\s*[\"'`]([^\"'`]+)[\"'`]",
+    r"\.get\s*\(\s*[\"'`]([^\"'`]+)[\"'`]", r"\.post\s*\(\s*[\"'`]([^\"'`]+)[\"'`]", r"baseURL\s*[:=]\s*[\"'`]([^\"'`]+)[\"'`]", r"apiUrl\s*[:=]\s*[\"'`]([^\"'`]+)[\"'`]",
+    r"endpoint\s*[:=]\s*[\"'`]([^\"'`]+)[\"'`]", r"API_URL\s*[:=]\s*[\"'`]([^\"'`]+)[\"'`]", r"UPLOAD_URL\s*[:=]\s*[\"'`]([^\"'`]+)[\"'`]",
+)
+
+
+def api_mentions(page: Column, base: Column) -> Column:
+    """Endpoints that a page's scripts name, distinct: absolute ones, and paths from the root behind the base's host."""
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    found = F.flatten(F.array(*[_all(page, p) for p in API_PLACES]))
+    full = F.transform(found, lambda u: F.when(u.startswith("/"), F.concat(root, u)).when(u.startswith("http"), u))
+    return distinct_in_order(F.filter(full, lambda u: u.isNotNull()))
+
+
+# Attributes that may name a file.
+FILE_ATTRIBUTES = ("href", "src", "data-src", "data-url", "data-file", "data-download", "data-media", "poster", "content", "action")
+
+
+def attribute_files(page: Column, base: Column) -> Column:
+    """Resolved values of ten attributes that name a file of a known extension, distinct; ``//`` becomes ``https://``."""
+    found = F.flatten(F.array(*[_all(page, rf"(?i){a}\s*=\s*[\"']([^\"']+)[\"']") for a in FILE_ATTRIBUTES]))
+    text = F.transform(found, lambda u: F.regexp_replace(u, r"(?U)^\s+|\s+\z", ""))
+    full = F.transform(text, lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.startswith("http"), u).otherwise(urls.urljoin(base, u)))
+    return distinct_in_order(F.filter(full, lambda u: is_file(u)))
 
 
-_ATTRIBUTES = r"(?i)\b(?:href|src|data-src|data-url|data-href|data-file|data-download|poster|content|action)=[\"']([^\"']+)[\"']"
+def is_file(url: Column) -> Column:
+    """Does a url end in an extension that belongs to a category?"""
+    return urls.extension_of_file(url).isin(*sorted({e for _, exts in urls.CATEGORIES for e in exts.split()}))
 
 
-def attribute_files(page: Column) -> Column:
-    """Values of ten url attributes that end in the extension of a file; ``//`` becomes ``https://``."""
-    values = F.transform(_all(page, _ATTRIBUTES), lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u))
-    return distinct_in_order(F.filter(values, lambda u: u.rlike(rf"(?i)\.(?:{_FILE_EXTENSIONS})(?:[?#].*)?\z")))
+# Places where players, embeds and structured data name their media; each pattern has one group.
+EMBED_PLACES = (
+    r"jwplayer\s*\([^)]*\)\s*\.setup\s*\(\s*\{[^}]*file\s*:\s*[\"']([^\"']+)[\"']", r"jwplayer\s*\([^)]*\)\s*\.setup\s*\(\s*\{[^}]*sources\s*:\s*\[([^\]]+)\]",
+    r"videojs\s*\([^)]*\)\s*\.src\s*\(\s*[\"']([^\"']+)[\"']", r"data-setup\s*=\s*[\"'][^\"']*sources\s*:\s*\[([^\]]+)\][\"']", r"new\s+Plyr\s*\([^)]*\)\s*;\s*[^;]*source\s*[:=]\s*[\"']([^\"']+)[\"']",
+    r"<(?:audio|video)[^>]*src\s*=\s*[\"']([^\"']+)[\"']", r"<source[^>]*src\s*=\s*[\"']([^\"']+)[\"']", r"<source[^>]*srcset\s*=\s*[\"']([^\"']+)[\"']", r"poster\s*=\s*[\"']([^\"']+)[\"']",
+    r"<(?:object|embed)[^>]*(?:data|src)\s*=\s*[\"']([^\"']+)[\"']", r"<param[^>]*name\s*=\s*[\"'](?:movie|src|flashvars|file)[\"'][^>]*value\s*=\s*[\"']([^\"']+)[\"']", r"<iframe[^>]*src\s*=\s*[\"']([^\"']+)[\"']",
+    r"background(?:-image)?\s*:\s*[^;]*url\s*\(\s*[\"']?([^\"')\s]+)[\"']?\s*\)", r"<meta[^>]*property\s*=\s*[\"']og:(?:image|video|audio)[\"'][^>]*content\s*=\s*[\"']([^\"']+)[\"']",
+    r"<meta[^>]*content\s*=\s*[\"']([^\"']+)[\"'][^>]*property\s*=\s*[\"']og:(?:image|video|audio)[\"']", r"<meta[^>]*name\s*=\s*[\"']twitter:(?:image|player:stream)[\"'][^>]*content\s*=\s*[\"']([^\"']+)[\"']",
+    r'"contentUrl"\s*:\s*"([^"]+)"', r'"embedUrl"\s*:\s*"([^"]+)"', r'"downloadUrl"\s*:\s*"([^"]+)"', r"data-(?:src|file|url|audio|video|download|media|image|poster)\s*=\s*[\"']([^\"']+)[\"']",
+)
+
+
+def embeds(page: Column, base: Column) -> Column:
+    """Media urls in players, embeds and structured data, resolved, without fragment, of a known extension; distinct, in order.
+
+    In each place absolute urls are sought first, then whatever begins with a slash, wherever it stands.
+    """
+    groups = F.flatten(F.array(*[_all(page, "(?is)" + p) for p in EMBED_PLACES]))
+    rooted = lambda g: F.transform(_all(g, r"(/[^\s\"']+)"), lambda u: urls.urljoin(base, u))
+    full = F.flatten(F.transform(groups, lambda g: F.concat(_all(g, r"(https?://[^\s\"']+)"), rooted(g))))
+    bare = F.transform(full, lambda u: F.substring_index(u, "#", 1))
+    return distinct_in_order(F.filter(bare, lambda u: u.startswith("http") & is_file(u)))
 
 
 def is_directory_listing(page: Column) -> Column:
@@ -295,33 +345,6 @@ def listing_files(page: str | None, base: str | None) -> list[str]:
     return out if marks[0] else []
 
 
-# Places where players and scripts name their media; each pattern has one group.
-_EMBEDS = tuple(
-    re.compile(p, re.I | re.S)
-    for p in (
-        r"<embed[^>]+src=[\"']([^\"']+)", r"<object[^>]+data=[\"']([^\"']+)", r"<param[^>]+name=[\"'](?:movie|src|filename|url)[\"'][^>]+value=[\"']([^\"']+)",
-        r"flashvars=[\"']([^\"']+)", r"<(?:audio|video|source)[^>]+src=[\"']([^\"']+)", r"<iframe[^>]+src=[\"']([^\"']+)",
-        r"(?:file|source|src|url|mp3|mp4|video_url|audio_url)\s*[:=]\s*[\"']([^\"']+)", r"swfobject\.embedSWF\([\"']([^\"']+)", r"<meta[^>]+(?:og:video|og:audio)[^>]+content=[\"']([^\"']+)",
-    )
-)
-
-
-def embeds(page: str | None, base: str | None) -> list[str]:
-    """Media urls in players and scripts: absolute ones, and paths from the root, resolved, without fragment; distinct, in order."""
-    seen: dict[str, None] = {}
-    for pattern in _EMBEDS:
-        for group in pattern.findall(page or ""):
-            places = re.findall(r"https?://[^\s\"'<>&|]+", group) or re.findall(r"(?<![\w/:.])/[\w./~%-]+", group)
-            for u in places:
-                try:
-                    full = urljoin(base or "", u).split("#")[0]
-                except ValueError:
-                    continue
-                if _ext(full) in _KNOWN:
-                    seen.setdefault(full)
-    return list(seen)
-
-
 # types are objects, not texts: a worker process that imports this module has no session to parse them
 def _rows(*names: str) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
@@ -340,8 +363,3 @@ def file_links_udf(page: pd.Series, base: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def listing_files_udf(page: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([listing_files(p, b) for p, b in zip(page, base)], dtype=object)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def embeds_udf(page: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([embeds(p, b) for p, b in zip(page, base)], dtype=object)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions import urls
 from capturelake.functions.captures import falsy_coalesce
+from capturelake.operators.numbering import running_max
 
 
 # ---- predicates
@@ -88,13 +89,47 @@ def at_least_size(minimum: dict[str, int], default: int = 0, *, ext: Column, siz
 
 
 def no_small_page(categories: list[str], *, category: Column, mime: Column, size: Column, least: int = 50000) -> Column:
-    """Rows that are no small HTML page in one of the media categories."""
-    return ~(category.isin(categories) & F.coalesce(mime.contains("html"), F.lit(False)) & (size < least))
+    """Rows that are no small HTML page in one of the media categories; what is unknown rules nothing out."""
+    return ~F.coalesce(category.isin(categories) & mime.contains("html") & (size < least), F.lit(False))
+
+
+# Extensions of pages.
+PAGE_EXTENSIONS = ("html", "htm", "php", "asp", "aspx", "jsp", "cgi", "shtml", "pl", "")
 
 
 def is_page(url: Column, ext: Column) -> Column:
     """A page rather than a file: a page's extension, none, or a slash at the end."""
-    return ext.isin("html", "htm", "php", "asp", "aspx", "jsp", "cgi", "shtml", "") | url.endswith("/")
+    return ext.isin(*PAGE_EXTENSIONS) | url.endswith("/")
+
+
+def likely_file(ext: Column, confidence: Column, least: float = 0.3) -> Column:
+    """Targets with a known extension and enough confidence."""
+    return (F.coalesce(ext, F.lit("")) != "") & F.coalesce(confidence >= least, F.lit(False))
+
+
+def wanted_target(ext: Column, category: Column, wanted: list[str], known: list[str]) -> Column:
+    """Targets of a wanted extension, and those whose link only promises a download and whose extension is unknown."""
+    ext, category = F.coalesce(ext, F.lit("")), F.coalesce(category, F.lit(""))
+    return ext.isin(wanted) | (category == "potential_download") & ~ext.isin(known)
+
+
+def status_among(status: Column, words: list[str]) -> Column:
+    """Rows whose status text holds one of the words, letter case ignored."""
+    low = F.lower(F.coalesce(status, F.lit("")))
+    test = F.lit(False)
+    for w in words:
+        test = test | low.contains(w.lower())
+    return test
+
+
+def by_confidence_and_category(confidence: Column, category: Column) -> list[Column]:
+    """Order of targets: the surest first, then by category."""
+    return [confidence.desc_nulls_last(), category.asc_nulls_first()]
+
+
+def by_confidence_and_size(confidence: Column, size: Column) -> list[Column]:
+    """Order of lookups: the surest first, then the largest."""
+    return [confidence.desc_nulls_last(), size.desc_nulls_last()]
 
 
 # ---- tiers
@@ -134,9 +169,21 @@ def limit_then_collapse(df: DataFrame, limit: int, *, time: str = "timestamp", r
 
 
 def collapse_adjacent_digest(df: DataFrame, *, url: str = "url", time: str = "timestamp", row_id: str = "id", digest: str = "digest") -> DataFrame:
-    """Captures whose digest differs from that of the capture of the same url before."""
-    w = Window.partitionBy(url).orderBy(time, row_id)
-    return df.withColumn("_p", F.lag(digest).over(w)).filter(~F.col(digest).eqNullSafe(F.col("_p")) | F.col(digest).isNull()).drop("_p")
+    """Captures whose digest differs from that of the capture of the same url before; a hot url is spread over several tasks."""
+    rows = running_max(df, [url], [time, row_id], F.struct(time, row_id, digest), "_prev")
+    return rows.filter(F.col(digest).isNull() | ~F.col(digest).eqNullSafe(F.col("_prev")[digest])).drop("_prev")
+
+
+def first_by_digest_or_url(df: DataFrame, order: list[Column], *, digest: str = "digest", url: str = "url") -> DataFrame:
+    """First row of each digest, or of each url where the digest is NULL; an empty digest is one key, however many rows have it."""
+    key = F.coalesce(F.concat(F.lit("d "), F.col(digest)), F.concat(F.lit("u "), F.col(url)))
+    return first_per(df, [key], order)
+
+
+def first_by_file_name(df: DataFrame, order: list[Column], *, url: str = "url", keep_case: bool = False) -> DataFrame:
+    """First row of each file name, without the query; letter case is ignored unless ``keep_case``."""
+    name = F.substring_index(F.substring_index(F.col(url), "?", 1), "/", -1)
+    return first_per(df, [name if keep_case else F.lower(name)], order)
 
 
 def collapse_timestamp(df: DataFrame, digits: int, *, keys: list[str], time: str = "timestamp", row_id: str = "id") -> DataFrame:
@@ -183,13 +230,12 @@ def has_domain(captures: DataFrame, domain: str) -> DataFrame:
 def nearest(queries: DataFrame, captures: DataFrame, *, url: str = "url", at: str = "at", time: str = "timestamp") -> DataFrame:
     """For each (url, at) the latest capture not after it, as ``found``; NULL if there is none.
 
-    An as-of join in one sort per url: captures and queries are put in one line, and each query
-    takes the last capture before it.
+    An as-of join in one sort: captures and queries are put in one line, and each query takes the last capture
+    before it. A url with very many captures or queries is spread over several tasks.
     """
     points = captures.select(F.col(url).alias("_u"), F.col(time).alias("_t"), F.col(time).alias("_c"), F.lit(0).alias("_q"))
     asks = queries.select(F.col(url).alias("_u"), F.col(at).alias("_t"), F.lit(None).cast("string").alias("_c"), F.lit(1).alias("_q"))
-    w = Window.partitionBy("_u").orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    line = points.unionByName(asks).withColumn("found", F.last("_c", ignorenulls=True).over(w))
+    line = running_max(points.unionByName(asks), ["_u"], ["_t", "_q"], F.col("_c"), "found", including=True)
     return line.filter("_q = 1").select(F.col("_u").alias(url), F.col("_t").alias(at), "found")
 
 

@@ -48,17 +48,22 @@ def merkle_root(df: DataFrame, digest: str, order: list[Column]) -> DataFrame:
     return level.agg(F.coalesce(F.max("h"), empty).alias("root")).select("root", F.lit(total).cast("long").alias("leaves"))
 
 
-def verify(records: DataFrame, blobs: DataFrame) -> DataFrame:
-    """One row: records with a hash, and how many are verified, corrupted or missing; ok if none is bad.
+def verify(records: DataFrame, blobs: DataFrame, *, url: str | None = None, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """One row: records with a hash, how many are verified, corrupted or missing, ok if none is bad, and the root of their hashes.
 
-    Each distinct blob is hashed once, however many records refer to it.
+    With ``url`` only the captures of that url, in order of timestamp and id. The root is NULL where there is no
+    record with a hash. Each distinct blob is hashed once, however many records refer to it.
     """
+    chosen = records.filter(F.coalesce("content_hash", F.lit("")) != "")
+    if url is not None:
+        chosen, order = chosen.filter(F.col("url") == url), ("timestamp", "id")
     checked = blobs.select("content_hash", (F.sha2("body", 256) == F.col("content_hash")).alias("_good")).groupBy("content_hash").agg(F.min("_good").alias("_good"))
-    known = records.filter(F.coalesce("content_hash", F.lit("")) != "").groupBy("content_hash").agg(F.count(F.lit(1)).alias("_n"))
+    known = chosen.groupBy("content_hash").agg(F.count(F.lit(1)).alias("_n"))
     joined = known.join(checked, "content_hash", "left")
     count = lambda test: F.coalesce(F.sum(F.when(test, F.col("_n"))), F.lit(0))
     good = F.col("_good")
     out = joined.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("records"), count(good).alias("verified"), count(~good).alias("corrupted"), count(good.isNull()).alias("missing")
     )
-    return out.withColumn("ok", (F.col("corrupted") + F.col("missing")) == 0)
+    root = merkle_root(chosen, "content_hash", [F.col(c) for c in order]).select(F.when(F.col("leaves") > 0, F.col("root")).alias("root"))
+    return out.withColumn("ok", (F.col("corrupted") + F.col("missing")) == 0).join(F.broadcast(root))  # one row each

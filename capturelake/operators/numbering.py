@@ -1,4 +1,4 @@
-"""Global row numbers in a given order without a single-task sort."""
+"""Row numbers and running values in a given order, without a task that sees all rows of a key."""
 
 from __future__ import annotations
 
@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from capturelake.session import materialise, task_count
 
 
+def _ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with ``_part``, its range of the order; written once, so that the ranges are the same in every use."""
+    return materialise(df.repartitionByRange(task_count(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     """``df`` with a number from 0 in the order given, which must be total.
 
@@ -15,7 +20,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     uses; each range is numbered on its own, and the offset of a range is the sum of the sizes
     before it: one row per range, which is all that a single task sees.
     """
-    ranged = materialise(df.repartitionByRange(task_count(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ranged = _ranges(df, order)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
@@ -23,3 +28,28 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     # one row per range: bounded by the number of tasks
     joined = ranged.join(F.broadcast(offsets), "_part")
     return joined.withColumn(name, F.row_number().over(within) - 1 + F.col("_offset")).drop("_part", "_offset")
+
+
+def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, *, including: bool = False) -> DataFrame:
+    """``df`` with the largest ``value`` of the rows before each row among those of its key; with ``including`` also its own.
+
+    ``order`` must be total within a key. Rows are range-partitioned by key and order, so that a key with very
+    many rows lies in several ranges; each range is run through on its own, and its first key goes on from the
+    largest value which that key has in the ranges before: two rows per range, which is all that a
+    window over several ranges sees. NULL keys are one key; NULL values do not count.
+    """
+    rows = df.select(F.struct(*keys).alias("_k"), F.struct(*order).alias("_o"), F.struct(*df.columns).alias("_row"), value.alias("_v"))
+    ranged = _ranges(rows, [F.col("_k"), F.col("_o")])
+    frame = Window.partitionBy("_part", "_k").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0 if including else -1)
+    groups = ranged.groupBy("_part", "_k").agg(F.max("_v").alias("_v"))
+    ends = groups.groupBy("_part").agg(F.min("_k").alias("_first"), F.max_by("_v", "_k").alias("_v"), F.max("_k").alias("_last"))
+    asks = ends.select(F.col("_first").alias("_k"), "_part", F.lit(0).alias("_give"), F.when(F.lit(False), F.col("_v")).alias("_v"))
+    gives = ends.select(F.col("_last").alias("_k"), "_part", F.lit(1).alias("_give"), "_v")
+    before = Window.partitionBy("_k").orderBy("_part", "_give").rowsBetween(Window.unboundedPreceding, -1)
+    carried = asks.unionByName(gives).withColumn("_carry", F.max("_v").over(before)).filter("_give = 0")
+    carried = carried.select(F.col("_part").alias("_p"), F.col("_k").alias("_first"), "_carry")
+    inner = ranged.withColumn("_run", F.max("_v").over(frame))
+    # one row per range: bounded by the number of tasks
+    joined = inner.join(F.broadcast(carried), F.col("_part") == F.col("_p"))
+    carry = F.when(F.col("_k").eqNullSafe(F.col("_first")), F.col("_carry"))
+    return joined.select("_row.*", F.greatest("_run", carry).alias(name))

@@ -16,6 +16,12 @@ def sparkline(captures: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return captures.filter(year(F.col("timestamp")).rlike(r"^[0-9]{4}\z")).groupBy(*keys, year(F.col("timestamp")).alias("year")).agg(F.count(F.lit(1)).alias("captures"))
 
 
+def sparkline_cache(captures: DataFrame) -> DataFrame:
+    """(domain, counts, earliest, latest): the sparkline as a map from year to captures, and its first and last year."""
+    entries = F.array_sort(F.collect_list(F.struct("year", "captures")))
+    return sparkline(captures).groupBy("domain").agg(F.map_from_entries(entries).alias("counts"), F.min("year").alias("earliest"), F.max("year").alias("latest"))
+
+
 def sparkline_map(captures: DataFrame) -> DataFrame:
     """(domain, counts): the sparkline as a map from year to captures, in year order."""
     entries = F.array_sort(F.collect_list(F.struct("year", "captures")))
@@ -79,13 +85,15 @@ def dedupe_ratio(records: DataFrame) -> DataFrame:
     )
 
 
-def archive_info(records: DataFrame, links: DataFrame) -> DataFrame:
-    """One row: records, domains, urls, edges, first and last timestamp, distinct contents; single-row frames joined."""
-    a = records.agg(
-        F.count(F.lit(1)).alias("records"), F.countDistinct("domain").alias("domains"), F.countDistinct("url").alias("urls"),
-        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
-    )
-    return a.join(F.broadcast(links.agg(F.count(F.lit(1)).alias("edges"))))
+def archive_info(records: DataFrame, links: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """One row: records, domains, urls, edges, indexed texts, first and last timestamp, and the columns of ``dedupe_ratio``.
+
+    Single-row frames are joined; ``postings`` has a row per text and term.
+    """
+    a = records.agg(F.countDistinct("domain").alias("domains"), F.countDistinct("url").alias("urls"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    texts = postings.agg(F.countDistinct("doc").alias("texts")) if postings is not None else a.agg(F.lit(None).cast("long").alias("texts"))
+    edges = links.agg(F.count(F.lit(1)).alias("edges"))
+    return a.join(F.broadcast(edges)).join(F.broadcast(texts)).join(F.broadcast(dedupe_ratio(records)))
 
 
 def report_by_extension(captures: DataFrame) -> DataFrame:
@@ -102,11 +110,28 @@ def category_counts(df: DataFrame, url: str = "url") -> DataFrame:
     return df.groupBy(urls.category(urls.extension_of_file(F.col(url))).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with its rank from 1 in a total order, by ranges, so that no task sees all rows."""
+    return numbered(df, order, "_n").withColumn("rank", (F.col("_n") + 1).cast("int")).drop("_n")
+
+
+def counts_of_top(df: DataFrame, column: str, n: int, *, first: int | None = None, order: list[Column] | None = None) -> DataFrame:
+    """The ``n`` most frequent values with their counts, ties by value; only of the ``first`` rows of an order, if given."""
+    rows = df if first is None else df.orderBy(*order).limit(first)
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.col(column).asc_nulls_first()).limit(n)
+
+
+def top_years(sparklines: DataFrame, n: int = 5) -> DataFrame:
+    """Of each domain its ``n`` years with most captures, the earlier one at a tie."""
+    best = Window.partitionBy("domain").orderBy(F.desc("captures"), "year")  # a row per year
+    return sparklines.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= n).drop("_k")
+
+
 def leaderboard(discoveries: DataFrame, finder: str = "found_by") -> DataFrame:
     """Finders by files found: files, pages they found them on, files per page, rank; ties by name."""
     per = discoveries.groupBy(finder, "found_on").agg(F.count(F.lit(1)).alias("n")).groupBy(finder).agg(F.sum("n").alias("files"), F.count("found_on").alias("pages"))
-    w = Window.orderBy(F.desc("files"), finder)  # over one row per finder
-    return per.withColumn("per_page", F.round(F.col("files") / F.greatest("pages", F.lit(1)), 4)).withColumn("rank", F.row_number().over(w))
+    per = per.withColumn("per_page", F.round(F.col("files") / F.greatest("pages", F.lit(1)), 4))
+    return _ranked(per, [F.desc("files"), F.col(finder)])
 
 
 def bytes_board(discoveries: DataFrame, finder: str = "found_by") -> DataFrame:
@@ -115,7 +140,7 @@ def bytes_board(discoveries: DataFrame, finder: str = "found_by") -> DataFrame:
     per = discoveries.groupBy(finder).agg(
         F.sum(size).alias("bytes"), F.max(size).alias("largest"), F.max_by("url", F.struct(size, "url")).alias("largest_url")
     )
-    return per.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("bytes"), finder)))
+    return _ranked(per, [F.desc("bytes"), F.col(finder)])
 
 
 def best_per_group(df: DataFrame, group: Column, size: Column, tie: Column, name: str = "grp") -> DataFrame:

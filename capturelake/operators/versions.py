@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capturelake.operators.numbering import running_max
+
 
 def _change(prev: Column, current: Column) -> Column:
     return F.when(prev.isNull(), "new").when(prev == current, "unchanged").otherwise("content_update")
@@ -15,19 +17,19 @@ def _change(prev: Column, current: Column) -> Column:
 def version_chain(records: DataFrame, *, url: str = "url", time: str = "timestamp", digest: str = "content_hash", row_id: str = "id") -> DataFrame:
     """(row_id, url, timestamp, digest, prev, change): each capture with the one before in time order.
 
-    Rows without a digest are left out. change is new, unchanged or content_update.
+    Rows without a digest are left out. change is new, unchanged or content_update. A url with very many captures
+    is spread over several tasks.
     """
     rows = records.filter(F.col(digest).isNotNull()).select(row_id, url, time, digest)
-    prev = F.lag(digest).over(Window.partitionBy(url).orderBy(time, row_id))
-    return rows.withColumn("prev_hash", prev).withColumn("change", _change(F.col("prev_hash"), F.col(digest)))
+    prev = running_max(rows, [url], [time, row_id], F.struct(time, row_id, digest), "_prev").withColumn("prev_hash", F.col("_prev")[digest]).drop("_prev")
+    return prev.withColumn("change", _change(F.col("prev_hash"), F.col(digest)))
 
 
 def version_chain_by_arrival(records: DataFrame, *, url: str = "url", time: str = "timestamp", digest: str = "content_hash", row_id: str = "id") -> DataFrame:
     """The same, where a capture is compared with the latest one among those that arrived before it (by ``row_id``)."""
     rows = records.filter(F.col(digest).isNotNull()).select(row_id, url, time, digest)
-    before = Window.partitionBy(url).orderBy(row_id).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max(F.struct(F.col(time), F.col(row_id), F.col(digest))).over(before)[digest]
-    return rows.withColumn("prev_hash", prev).withColumn("change", _change(F.col("prev_hash"), F.col(digest)))
+    prev = running_max(rows, [url], [row_id], F.struct(time, row_id, digest), "_prev").withColumn("prev_hash", F.col("_prev")[digest]).drop("_prev")
+    return prev.withColumn("change", _change(F.col("prev_hash"), F.col(digest)))
 
 
 def latest_capture(records: DataFrame, *, url: str = "url", time: str = "timestamp", row_id: str = "id") -> DataFrame:
@@ -67,16 +69,22 @@ def two_hops(links: DataFrame) -> DataFrame:
     return a.join(b, "via").filter("source <> target").select("source", "via", "target")
 
 
-def reachable(links: DataFrame, start: str, depth: int = 3) -> DataFrame:
-    """(url, depth): pages within ``depth`` edges of a page, each with its least depth; a bounded number of joins."""
+def reachable(links: DataFrame, start: str, depth: int | None = None) -> DataFrame:
+    """(url, depth): pages that links lead to from a page, each with its least depth; of ``depth`` edges at most, if given.
+
+    A round is one join of the pages found last; the rounds end when none is new.
+    """
     from capturelake.session import materialise
 
     edges = links.filter(F.coalesce("target_url", F.lit("")) != "").select("source_url", "target_url").distinct()
     seen = links.sparkSession.createDataFrame([(start, 0)], "url string, depth int")
-    frontier = seen
-    for k in range(1, depth + 1):
+    frontier, k = seen, 0
+    while depth is None or k < depth:
+        k += 1
         step = frontier.join(edges, F.col("url") == F.col("source_url")).select(F.col("target_url").alias("url")).distinct()
         frontier = materialise(step.join(seen, "url", "left_anti").withColumn("depth", F.lit(k)), "frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -103,14 +111,24 @@ def found_or_missing(wanted: DataFrame, first: DataFrame, second: DataFrame, url
 def wish_matches(captures: DataFrame, wishes: DataFrame) -> DataFrame:
     """(wish, id): captures that match a wish's prefix or domain.
 
-    A wish is (wish, kind, pattern). Prefixes are matched by an equality join on the domain they name and a
-    test of the rest, so that no pair of rows is compared that does not share a domain.
+    A wish is (wish, kind, pattern). A prefix that goes beyond its host is matched by an equality join on the
+    domain it names and a test of the rest. One that ends inside the host, or before it, is matched by an equality
+    join on the urls' beginnings of the lengths that such prefixes have, of which there are few. So no pair
+    of rows is compared that does not share a domain or a beginning.
     """
     from capturelake.functions.urls import domain
 
     named = wishes.withColumn("_d", F.when(F.col("kind") == "domain", F.lower("pattern")).otherwise(domain(F.col("pattern"))))
-    joined = captures.join(named, F.lower(captures["domain"]) == F.col("_d"))
-    return joined.filter((F.col("kind") == "domain") | F.col("url").startswith(F.col("pattern"))).select("wish", "id")
+    beyond = (F.col("kind") == "domain") | F.col("pattern").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[/?#]")
+    joined = captures.join(named.filter(beyond), F.lower(captures["domain"]) == F.col("_d"))
+    whole = joined.filter((F.col("kind") == "domain") | F.col("url").startswith(F.col("pattern"))).select("wish", "id")
+    short = wishes.filter("kind <> 'domain'").filter(~F.coalesce(beyond, F.lit(False)) & F.col("pattern").isNotNull())
+    lengths = sorted(r[0] for r in short.select(F.length("pattern")).distinct().collect())  # at most the length of a host name
+    if not lengths:
+        return whole
+    begun = captures.select("id", F.col("url").alias("_u"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n"))
+    begun = begun.filter(F.length("_u") >= F.col("_n")).select("id", F.substring("_u", F.lit(1), F.col("_n")).alias("_b"))
+    return whole.unionByName(begun.join(short.select("wish", "pattern"), F.col("_b") == F.col("pattern")).select("wish", "id"))
 
 
 def expand_templates(subjects: DataFrame, templates: list[str], column: str = "domain") -> DataFrame:

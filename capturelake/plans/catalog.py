@@ -124,7 +124,7 @@ def minimum_size(s, d):
 
 
 @query(
-    f"SELECT id, (e IN ('html','htm','php','asp','aspx','jsp','cgi','shtml','') OR ends_with(url, '/')) AS page FROM (SELECT *, {_EXT_FILE} AS e FROM cdx_records)"
+    f"SELECT id, (e IN ('html','htm','php','asp','aspx','jsp','cgi','shtml','pl','') OR ends_with(url, '/')) AS page FROM (SELECT *, {_EXT_FILE} AS e FROM cdx_records)"
 )
 def page_split(s, d):
     return _cdx(s, d).select("id", index.is_page(F.col("url"), urls.extension_of_file(F.col("url"))).alias("page"))
@@ -206,6 +206,102 @@ def nearest_capture(s, d):
     return asks.join(found, same).select("id", "found")
 
 
+@query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY CASE WHEN digest IS NULL THEN 'u ' || url ELSE 'd ' || digest END ORDER BY timestamp NULLS FIRST, id) AS n FROM cdx_records) WHERE n = 1")
+def first_by_digest_or_url(s, d):
+    return index.first_by_digest_or_url(_cdx(s, d), [F.col("timestamp"), F.col("id")]).select("id")
+
+
+@query("SELECT discovery_id, url FROM (SELECT *, row_number() OVER (PARTITION BY lower(string_split(split_part(url, '?', 1), '/')[-1]) ORDER BY discovery_id) AS n FROM discoveries) WHERE n = 1")
+def first_by_file_name(s, d):
+    return index.first_by_file_name(table(s, d, "discoveries"), [F.col("discovery_id")]).select("discovery_id", "url")
+
+
+@query("SELECT discovery_id, url FROM (SELECT *, row_number() OVER (PARTITION BY string_split(split_part(url, '?', 1), '/')[-1] ORDER BY discovery_id) AS n FROM discoveries) WHERE n = 1")
+def first_by_exact_file_name(s, d):
+    return index.first_by_file_name(table(s, d, "discoveries"), [F.col("discovery_id")], keep_case=True).select("discovery_id", "url")
+
+
+# ---- targets
+@query("SELECT discovery_id FROM discoveries WHERE coalesce(extension, '') <> '' AND ai_confidence >= 0.3")
+def likely_files(s, d):
+    return table(s, d, "discoveries").filter(index.likely_file(F.col("extension"), F.col("ai_confidence"))).select("discovery_id")
+
+
+@query("""
+SELECT discovery_id FROM (SELECT *, CASE WHEN discovery_id % 5 = 0 THEN 'potential_download' ELSE category END AS c FROM discoveries)
+WHERE coalesce(extension, '') IN ('.mid', '.wad') OR c = 'potential_download' AND coalesce(extension, '') NOT IN ('.mid', '.wad', '.zip', '.mp3')
+""")
+def wanted_targets(s, d):
+    """Targets of two extensions; every fifth link is one that only promises a download."""
+    category = F.when(F.col("discovery_id") % 5 == 0, "potential_download").otherwise(F.col("category"))
+    return table(s, d, "discoveries").filter(index.wanted_target(F.col("extension"), category, [".mid", ".wad"], [".mid", ".wad", ".zip", ".mp3"])).select("discovery_id")
+
+
+@query("SELECT hit_id, status FROM archive_hits WHERE contains(lower(coalesce(status, '')), '404') OR contains(lower(coalesce(status, '')), '30')")
+def hits_by_status_words(s, d):
+    return table(s, d, "archive_hits").filter(index.status_among(F.col("status"), ["404", "30"])).select("hit_id", "status")
+
+
+@query("SELECT id, url FROM cdx_records WHERE domain = " + _TOP_DOMAIN)
+def cdx_host(s, d):
+    c = _cdx(s, d)
+    return index.search(c, "http://" + _busiest(c, "domain") + "/any", "host", limit=None).select("id", "url")
+
+
+@query("SELECT discovery_id FROM discoveries ORDER BY ai_confidence DESC NULLS LAST, category NULLS FIRST, discovery_id LIMIT 100")
+def surest_by_category(s, d):
+    order = index.by_confidence_and_category(F.col("ai_confidence"), F.col("category"))
+    return table(s, d, "discoveries").orderBy(*order, "discovery_id").limit(100).select("discovery_id")
+
+
+@query("SELECT hit_id FROM archive_hits ORDER BY confidence DESC NULLS LAST, size DESC NULLS LAST, hit_id LIMIT 100")
+def surest_by_size(s, d):
+    return table(s, d, "archive_hits").orderBy(*index.by_confidence_and_size(F.col("confidence"), F.col("size")), "hit_id").limit(100).select("hit_id")
+
+
+@query(f"""
+SELECT domain, year, captures FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY captures DESC, year) AS k FROM
+(SELECT domain, substr(timestamp, 1, 4) AS year, count(*) AS captures FROM cdx_records WHERE {_YEARS} GROUP BY 1, 2)) WHERE k <= 5
+""")
+def top_years(s, d):
+    return reports.top_years(reports.sparkline(_cdx(s, d)))
+
+
+@query("SELECT extension, count(*) AS n FROM discoveries GROUP BY 1 ORDER BY n DESC, extension NULLS FIRST LIMIT 12")
+def top_extensions(s, d):
+    return reports.counts_of_top(table(s, d, "discoveries"), "extension", 12)
+
+
+@query("SELECT mime_type, count(*) AS n FROM (SELECT * FROM cdx_records ORDER BY id LIMIT 100) GROUP BY 1 ORDER BY n DESC, mime_type NULLS FIRST LIMIT 5")
+def top_types_of_first(s, d):
+    """Media types of the first hundred rows of a result, as its report shows them."""
+    return reports.counts_of_top(_cdx(s, d), "mime_type", 5, first=100, order=[F.col("id")])
+
+
+@query("""
+WITH s AS (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS k, first(category ORDER BY discovery_id) AS site_category, first(found_by ORDER BY discovery_id) AS site_name FROM discoveries WHERE contains(url, '://') GROUP BY 1)
+SELECT c.domain, s.site_category, s.site_name FROM (SELECT DISTINCT domain FROM cdx_records) c LEFT JOIN s ON s.k = lower(c.domain)
+""")
+def curated_sites(s, d):
+    """Domains with the first site listed for them, the list being that of the discoveries' hosts."""
+    found = table(s, d, "discoveries").filter(F.col("url").contains("://"))
+    sites = found.select(F.col("discovery_id").alias("place"), F.upper(urls.domain(F.col("url"))).alias("domain"), "category", F.col("found_by").alias("name"))
+    return readers.curated_sites(_cdx(s, d).select("domain").distinct(), sites)
+
+
+@query("""
+SELECT w.wish, c.id FROM (VALUES ('w1', 'http://pages.'), ('w2', 'http://f'), ('w3', 'https'), ('w4', 'http://nowhere')) w(wish, p) JOIN cdx_records c ON starts_with(c.url, w.p)
+""")
+def prefix_inside_host(s, d):
+    wishes = s.createDataFrame([("w1", "prefix", "http://pages."), ("w2", "prefix", "http://f"), ("w3", "prefix", "https"), ("w4", "prefix", "http://nowhere")], "wish string, kind string, pattern string")
+    return versions.wish_matches(_cdx(s, d), wishes)
+
+
+@query("SELECT id, regexp_matches(domain, 'pages\\..*\\.test') AS pages FROM cdx_records")
+def name_patterns(s, d):
+    return _cdx(s, d).select("id", F.col("domain").rlike(classify.glob_regex("pages.*.test")).alias("pages"))
+
+
 # ---- aggregates
 @query(f"SELECT domain, substr(timestamp, 1, 4) AS year, count(*) AS captures FROM cdx_records WHERE {_YEARS} GROUP BY 1, 2")
 def sparkline(s, d):
@@ -264,11 +360,12 @@ def dedupe_ratio(s, d):
     return reports.dedupe_ratio(table(s, d, "records"))
 
 
-@query(
-    "SELECT count(*) AS records, count(DISTINCT domain) AS domains, count(DISTINCT url) AS urls, min(timestamp) AS first, max(timestamp) AS last, (SELECT count(*) FROM link_graph) AS edges FROM records"
-)
+@query(f"""
+SELECT *, (SELECT count(*) FROM link_graph) AS edges, (SELECT count(*) FROM documents WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')) AS texts
+FROM (SELECT count(DISTINCT domain) AS domains, count(DISTINCT url) AS urls, min(timestamp) AS first, max(timestamp) AS last FROM records), ({SQL['dedupe_ratio']})
+""")
 def archive_info(s, d):
-    return reports.archive_info(table(s, d, "records"), table(s, d, "link_graph"))
+    return reports.archive_info(table(s, d, "records"), table(s, d, "link_graph"), fulltext.postings(table(s, d, "documents"), stemmed=False))
 
 
 @query(f"""
@@ -426,10 +523,15 @@ def safe_filename(s, d):
     return table(s, d, "discoveries").select("discovery_id", F.substring(urls.sanitise(F.col("url")), 1, 196).alias("safe"))
 
 
-@query()
+@query(f"""
+WITH x AS (SELECT discovery_id, url, {_EXT_FILE} AS e, url_decode(replace(string_split(split_part(url, '?', 1), '/')[-1], '+', '%2B')) AS last FROM discoveries WHERE url IS NOT NULL AND NOT regexp_matches(url, '%(?:[^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)|%[89A-Fa-f]')),
+n AS (SELECT discovery_id, e, CASE WHEN last = '' THEN 'file_' || substr(md5(url), 1, 8) ELSE last END AS named FROM x)
+SELECT discovery_id, substr(regexp_replace(CASE WHEN e = '' OR ends_with(lower(named), '.' || e) THEN named ELSE named || '.' || e END, '[<>:"/\\\\|?*]', '_', 'g'), 1, 200) AS filename FROM n
+""")
 def url_filenames(s, d):
     u = F.col("url")
-    return table(s, d, "discoveries").select("discovery_id", urls.filename(u, urls.extension_of_file(u)).alias("filename"))
+    rows = table(s, d, "discoveries").filter(u.isNotNull() & ~u.rlike("%(?:[^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?\\z)|%[89A-Fa-f]"))
+    return rows.select("discovery_id", urls.filename(u, urls.extension_of_file(u)).alias("filename"))
 
 
 @query("SELECT id, 'archive://web/' || timestamp || 'id_/' || url AS snapshot FROM records")
@@ -446,13 +548,6 @@ def years_in_url(s, d):
     return _cdx(s, d).select("id", y.alias("y")).filter("y is not null").select("id", F.col("y.first").alias("first_year"), F.col("y.last").alias("last_year"))
 
 
-@query(f"""
-SELECT id, CASE WHEN regexp_matches({_DOMAIN}, '^(?:mirror|ftp|dl|files|downloads?)\\.') THEN 'mirror' WHEN regexp_matches({_DOMAIN}, '^(?:cdn|static|assets|media|img|images)\\d*\\.') THEN 'static' ELSE 'other' END AS kind FROM cdx_records
-""")
-def host_kinds(s, d):
-    return _cdx(s, d).select("id", extract.host_kind(F.col("url")).alias("kind"))
-
-
 @query(r"""
 SELECT id, regexp_matches(url, '(?i)[?&](?:x-amz-signature|signature|sig|token|sv|se|sp|spr)=') AS signed,
 CASE WHEN regexp_matches(url, '(?i)[?&](?:x-amz-signature|signature|sig|token|sv|se|sp|spr)=') THEN split_part(url, '?', 1) ELSE url END AS shown FROM cdx_records
@@ -506,21 +601,6 @@ def stripped_text(s, d):
     return table(s, d, "documents").filter("text is not null").select("doc_id", F.trim(cap.stripped(F.col("text"))).alias("plain"))
 
 
-@query()
-def resolved_links(s, d):
-    return table(s, d, "documents").select("doc_id", F.explode(extract.links(F.col("text"), F.col("url"))).alias("link"))
-
-
-@query()
-def media_urls(s, d):
-    return table(s, d, "documents").select("doc_id", F.explode(extract.media_urls(F.col("text"))).alias("kind", "found")).select("doc_id", "kind", F.explode("found").alias("media"))
-
-
-@query()
-def text_file_urls(s, d):
-    return table(s, d, "documents").select("doc_id", F.explode(extract.file_urls(F.col("text"))).alias("file"))
-
-
 @query(r"""
 WITH h AS (SELECT doc_id, domain, lower(unnest(regexp_extract_all(text, '(?i)\b(?:src|href|data-src|poster|action)=["''](?:https?:)?//([^/"''?#\s]+)', 1))) AS host FROM documents WHERE text IS NOT NULL)
 SELECT DISTINCT doc_id, host FROM h WHERE NOT contains(host, domain)
@@ -529,27 +609,6 @@ def cdn_hosts(s, d):
     return table(s, d, "documents").select("doc_id", F.explode(extract.asset_hosts(F.col("text"), F.col("domain"))).alias("host"))
 
 
-@query()
-def forum_fields(s, d):
-    f = table(s, d, "documents").select("doc_id", extract.forum_fields(F.col("text")).alias("f"))
-    return f.select("doc_id", "f.posts", "f.images", F.size("f.names").alias("names"), F.size("f.replies").alias("replies"))
-
-
-@query()
-def content_urls(s, d):
-    return table(s, d, "documents").select("doc_id", F.explode(extract.content_urls(F.col("text"))).alias("x")).select("doc_id", "x.url", "x.kind")
-
-
-@query()
-def api_mentions(s, d):
-    return table(s, d, "documents").select("doc_id", F.explode(extract.api_mentions(F.col("text"))).alias("endpoint"))
-
-
-@query()
-def attribute_files(s, d):
-    return table(s, d, "documents").select("doc_id", F.explode(extract.attribute_files(F.col("text"))).alias("file"))
-
-
 @query(r"""
 SELECT doc_id, coalesce(regexp_matches(text, '(?i)<title>\s*index of|>\s*parent directory\s*<|\?C=[NMSD](?:;|&amp;)O=[AD]|directory listing for|\[to parent directory\]'), false) AS listing FROM documents
 """)
@@ -557,30 +616,6 @@ def directory_listing_pages(s, d):
     return table(s, d, "documents").select("doc_id", extract.is_directory_listing(F.col("text")).alias("listing"))
 
 
-@query()
-def anchor_links_parsed(s, d):
-    pages = table(s, d, "documents").filter(F.col("text").contains("<")).select("doc_id", "text")
-    return pages.select("doc_id", F.explode(extract.page_links_udf("text")).alias("l")).select("doc_id", "l.url", "l.text")
-
-
-@query()
-def file_links_parsed(s, d):
-    pages = table(s, d, "documents").filter(F.col("text").contains("<")).select("doc_id", "text", "url")
-    return pages.select("doc_id", F.explode(extract.file_links_udf("text", "url")).alias("l")).select("doc_id", "l.*")
-
-
-@query()
-def directory_listing_files(s, d):
-    pages = table(s, d, "documents").filter(F.col("text").rlike("Index of|Parent Directory|[?][CN]=")).select("doc_id", "text", "url")
-    return pages.select("doc_id", F.explode(extract.listing_files_udf("text", "url")).alias("file"))
-
-
-@query()
-def embeds(s, d):
-    pages = table(s, d, "documents").filter(F.col("text").rlike("(?i)<(?:embed|object|param|audio|video|source|iframe|meta)|flashvars|swfobject|[\"']?(?:file|src|url)\\s*[:=]"))
-    return pages.select("doc_id", F.explode(extract.embeds_udf("text", "url")).alias("media"))
-
-
 # ---- links and versions
 @query("SELECT target_url, count(*) AS links, count(DISTINCT source_url) AS pages FROM link_graph WHERE coalesce(target_url, '') <> '' GROUP BY 1")
 def link_in_degree(s, d):
@@ -610,10 +645,15 @@ def two_hop_links(s, d):
     return edges.join(degree, F.col("target_url") == F.col("via")).groupBy("source_url").agg(F.sum("n").alias("paths"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT source_url, target_url FROM link_graph WHERE coalesce(target_url, '') <> ''),
+r AS (SELECT (SELECT source_url FROM link_graph GROUP BY 1 ORDER BY count(*) DESC, source_url LIMIT 1) AS url UNION SELECT e.target_url FROM r JOIN e ON e.source_url = r.url)
+SELECT url FROM r
+""")
 def reachable_pages(s, d):
+    """All pages that links lead to from the page with most of them, to the fixpoint."""
     g = table(s, d, "link_graph")
-    return versions.reachable(g, _busiest(g, "source_url"))
+    return versions.reachable(g, _busiest(g, "source_url")).select("url")
 
 
 _CHAIN = "CASE WHEN p IS NULL THEN 'new' WHEN p = content_hash THEN 'unchanged' ELSE 'content_update' END"
@@ -737,7 +777,14 @@ def keyword_hit_counts(s, d):
     return table(s, d, "documents").filter(F.lower("text").contains(WORD)).select("doc_id", hits.alias("hits")).filter("hits > 0")
 
 
-@query()
+_STRIPPED = "regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0b]+', ' ', 'g')"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_STRIPPED} AS t FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, t, string_split(lower(t), '{WORD}') AS parts FROM t WHERE contains(lower(t), '{WORD}')),
+k AS (SELECT doc_id, t, parts, unnest(range(1, len(parts))) AS k FROM p), h AS (SELECT doc_id, t, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * {len(WORD)} AS INT) AS position FROM k)
+SELECT doc_id, position, trim(substr(t, greatest(position - 120, 0) + 1, position - greatest(position - 120, 0) + {len(WORD)} + 120)) AS context FROM h
+""")
 def keyword_hits(s, d):
     return table(s, d, "documents").select("doc_id", F.explode(cap.keyword_hits(F.col("text"), F.lit(WORD))).alias("h")).select("doc_id", "h.*")
 
@@ -780,16 +827,6 @@ def site_topic(s, d):
     return table(s, d, "documents").select("doc_id", classify.site_topic(F.col("text")).alias("topic"))
 
 
-def _marks_sql(column: str) -> str:
-    parts = ", ".join("CASE WHEN regexp_matches({}, '{}') THEN '{}' END".format(column, p, n) for n, p in classify.SERVER_MARKS)
-    return f"coalesce(nullif(concat_ws(', ', {parts}), ''), 'unknown')"
-
-
-@query(f"SELECT id, {_marks_sql('url')} AS software FROM cdx_records")
-def server_software(s, d):
-    return _cdx(s, d).select("id", classify.server_software(F.col("url")).alias("software"))
-
-
 @query(f"""
 WITH u AS (SELECT DISTINCT domain, url FROM cdx_records), p AS (SELECT domain, url, string_split(regexp_extract({_PATH}, '^(.*/)?', 1), '/') AS parts FROM u),
 x AS (SELECT domain, url, unnest(CASE WHEN len(parts) >= 2 THEN list_transform(range(1, len(parts)), lambda k: array_to_string(parts[1:k], '/') || '/') ELSE ['/'] END) AS directory FROM p)
@@ -809,11 +846,40 @@ def naming_conventions(s, d):
     return classify.naming_conventions(_cdx(s, d))
 
 
-@query()
+_WORDS = [(k, w) for k, (_, ws) in enumerate(classify.TOPICS) for w in ws.split()]
+_SCORES = [" + ".join(f"w{i}" for i, (t, _) in enumerate(_WORDS) if t == k) for k in range(len(classify.TOPICS))]
+_BEST = "greatest(" + ", ".join(f"({x})" for x in _SCORES) + ")"
+
+
+@query(f"""
+WITH u AS (SELECT DISTINCT domain, url FROM cdx_records), x AS (SELECT domain, url, {_EXT_FILE} AS e, list_transform(regexp_extract_all(url, '(?:19|20)[0-9]{{2}}'), lambda y: CAST(y AS INT)) AS ys FROM u),
+g AS (SELECT domain, count(*) AS urls, coalesce(array_to_string(list_sort(list(DISTINCT e) FILTER (e <> '')), ','), '') AS extensions, min(list_min(ys)) AS first_year, max(list_max(ys)) AS last_year,
+{', '.join(f"bool_or(regexp_matches(url, '{p}')) AS m{i}" for i, (_, p) in enumerate(classify.URL_MARKS))}, {', '.join(f"CAST(bool_or(contains(lower(url), '{w}')) AS INT) AS w{i}" for i, (_, w) in enumerate(_WORDS))} FROM x GROUP BY 1)
+SELECT domain, urls, extensions, coalesce(nullif(concat_ws(', ', {', '.join(f"CASE WHEN m{i} THEN '{n}' END" for i, (n, _) in enumerate(classify.URL_MARKS))}), ''), 'unknown') AS software,
+CASE WHEN {_BEST} = 0 THEN 'general' {' '.join(f"WHEN ({x}) = {_BEST} THEN '{n}'" for x, (n, _) in zip(_SCORES, classify.TOPICS))} END AS topic, first_year, last_year FROM g
+""")
 def site_profile(s, d):
     return classify.site_profile(_cdx(s, d))
 
 
+_RULE_SQL = " UNION ALL ".join(
+    f"SELECT domain, {k} AS seq, '{p}' AS path, CAST({c} AS DOUBLE) AS confidence, '{r}' AS reason FROM k GROUP BY domain"
+    + (f" HAVING bool_or(regexp_matches(url, '{dict(classify.URL_MARKS)[m]}'))" if m else "")
+    for k, (m, p, c, r) in enumerate(classify.PATH_RULES)
+)
+
+
+@query(f"""
+WITH k AS (SELECT DISTINCT domain, url FROM cdx_records WHERE url IS NOT NULL), y AS (SELECT domain, url, regexp_extract(url, '((?:19|20)[0-9]{{2}})', 1) AS y FROM k),
+n AS (SELECT DISTINCT domain, replace(url, y, CAST(CAST(y AS INT) + o AS VARCHAR)) AS url FROM y, (VALUES (-2), (-1), (1), (2)) v(o) WHERE y <> ''),
+c AS ({_RULE_SQL} UNION ALL SELECT domain, {len(classify.PATH_RULES)}, {_PATH}, CAST(0.6 AS DOUBLE), 'year series' FROM n WHERE url NOT IN (SELECT url FROM k)),
+f AS (SELECT domain, path, first(confidence ORDER BY seq) AS confidence, first(reason ORDER BY seq) AS reason FROM c GROUP BY 1, 2)
+SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT domain, {_PATH} AS path FROM k) p WHERE p.domain = f.domain AND p.path = f.path)
+""")
+def path_predictions(s, d):
+    return classify.path_predictions(_cdx(s, d))
+
+
 @query("""
 WITH c AS (SELECT domain, count(*) AS n FROM cdx_records GROUP BY 1), v AS (SELECT domain, CASE WHEN n >= 1000 THEN 40 ELSE 0 END + CASE WHEN n >= 100 THEN 20 ELSE 0 END + CASE WHEN length(domain) <= 16 THEN 30 ELSE 0 END AS score,
 concat_ws('; ', CASE WHEN n >= 1000 THEN 'very large' END, CASE WHEN n >= 100 THEN 'large' END, CASE WHEN length(domain) <= 16 THEN 'short' END) AS reasons FROM c)
@@ -851,19 +917,44 @@ def year_predictions(s, d):
 
 
 # ---- integrity and export
-@query()
+def _root_sql(leaves: str) -> str:
+    """Root over ``leaves`` (i from 0, h) and their number, level by level."""
+    return f"""
+WITH RECURSIVE l0 AS ({leaves}), t AS (SELECT 0 AS lv, i, h, (SELECT count(*) FROM l0) AS n FROM l0
+ UNION ALL SELECT lv + 1, i // 2, sha256(h || coalesce(nh, h)), (n + 1) // 2 FROM (SELECT lv, i, h, n, lead(h) OVER (PARTITION BY lv ORDER BY i) AS nh FROM t) x WHERE i % 2 = 0 AND n > 1)
+SELECT coalesce((SELECT h FROM t WHERE n = 1), sha256('')) AS root, (SELECT count(*) FROM l0) AS leaves"""
+
+
+@query(_root_sql("SELECT row_number() OVER (ORDER BY id) - 1 AS i, content_hash AS h FROM records WHERE coalesce(content_hash, '') <> ''"))
 def merkle_root(s, d):
     return merkle.merkle_root(table(s, d, "records"), "content_hash", [F.col("id")])
 
 
-@query("""
-WITH b AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 0), r AS (SELECT sha256(text) AS h FROM documents WHERE text IS NOT NULL)
-SELECT count(*) AS records, count(*) FILTER (h IN (SELECT h FROM b)) AS verified, CAST(0 AS BIGINT) AS corrupted, count(*) FILTER (h NOT IN (SELECT h FROM b)) AS missing, count(*) FILTER (h NOT IN (SELECT h FROM b)) = 0 AS ok FROM r
+_LEAVES = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, sha256(text) AS h FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"""
+WITH v AS (SELECT doc_id, sha256(text) AS h, min(doc_id) OVER (PARTITION BY text) AS m FROM documents WHERE text IS NOT NULL)
+SELECT count(*) AS records, count(*) FILTER (m % 7 NOT IN (0, 1)) AS verified, count(*) FILTER (m % 7 = 1) AS corrupted, count(*) FILTER (m % 7 = 0) AS missing, count(*) FILTER (m % 7 IN (0, 1)) = 0 AS ok,
+(SELECT root FROM ({_root_sql(_LEAVES)})) AS root FROM v
 """)
 def merkle_verify(s, d):
-    """Every document as a record; the blob table lacks some of their contents, which must come out as missing."""
-    docs = table(s, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.encode("text", "UTF-8").alias("body"))
-    return merkle.verify(docs, docs.filter("doc_id % 7 <> 0"))
+    """Every document as a record; of the blob table some contents are missing and some are others than their hash says."""
+    docs = table(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"), "text")
+    blobs = docs.groupBy("content_hash").agg(F.min("id").alias("id"), F.min("text").alias("text")).filter("id % 7 <> 0")
+    body = F.encode(F.when(F.col("id") % 7 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), "UTF-8")
+    return merkle.verify(docs, blobs.select("content_hash", body.alias("body")))
+
+
+@query(f"""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY timestamp, id) - 1 AS i FROM records WHERE url = (SELECT url FROM records WHERE url IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, url LIMIT 1) AND coalesce(content_hash, '') <> '')
+SELECT count(*) AS records, CAST(0 AS BIGINT) AS verified, CAST(0 AS BIGINT) AS corrupted, count(*) AS missing, count(*) = 0 AS ok, (SELECT root FROM ({_root_sql("SELECT i, content_hash AS h FROM r")})) AS root FROM r
+""")
+def merkle_verify_url(s, d):
+    """The captures of the busiest url, in order of time, against a blob table that has none of them."""
+    records = table(s, d, "records")
+    blobs = records.filter("1 = 0").select("content_hash", F.lit(b"").alias("body"))
+    return merkle.verify(records, blobs, url=_busiest(records.filter("url is not null"), "url"))
 
 
 _DASH = "coalesce(nullif(CAST({} AS VARCHAR), ''), '-')"
@@ -879,21 +970,29 @@ def cdx_export_lines(s, d):
 
 
 @query("""
-SELECT coalesce(nullif(status, ''), '200') AS status, count(*) AS n FROM archive_hits GROUP BY 1
+SELECT lower(CASE WHEN contains(url, '://') THEN regexp_extract(url, '://([^/?#]*)', 1) ELSE split_part(url, '/', 1) END) AS domain, url, coalesce(timestamp, '') AS timestamp,
+coalesce(try_cast(CASE WHEN coalesce(status, '') IN ('', '0') THEN '200' ELSE status END AS INT), 200) AS status_code, coalesce(mimetype, '') AS mime_type,
+coalesce(CASE WHEN size <> 0 THEN size END, 0) AS content_length, archive AS source FROM archive_hits WHERE url IS NOT NULL AND archive = 'wayback' AND coalesce(mimetype, '') <> '0' AND coalesce(timestamp, '') <> '0' AND regexp_full_match(coalesce(status, ''), '[0-9]*')
 """)
 def normalised_hits(s, d):
-    """Status after the usual defaults of an import: what is NULL or '' becomes 200."""
-    return table(s, d, "archive_hits").select(cap.falsy_coalesce(F.col("status"), F.lit("200")).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Hits of one archive as index rows, by the field names that its answers use."""
+    hits = table(s, d, "archive_hits").filter((F.col("archive") == "wayback") & F.col("url").isNotNull() & F.coalesce("status", F.lit("")).rlike(r"^[0-9]*\z"))
+    rows = index.normalise_records(hits.select(F.col("url").alias("original"), "timestamp", F.col("status").alias("statuscode"), "mimetype", F.col("size").alias("length")), source="wayback")
+    return rows.select("domain", "url", "timestamp", "status_code", "mime_type", "content_length", "source")
 
 
-@query()
+@query(r"""
+WITH c AS (SELECT *, coalesce(mime_type, 'text/html') AS mt, strftime(captured_at, '%Y%m%d%H%M%S') AS ts FROM documents WHERE text IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY url, ts ORDER BY doc_id) AS n FROM c)
+SELECT 'records' AS table_name, count(*) AS rows FROM r WHERE n = 1 OR url IS NULL OR ts IS NULL UNION ALL SELECT 'versions', count(*) FROM r WHERE n = 1 OR url IS NULL OR ts IS NULL
+""")
 def archive_tables(s, d):
-    """Documents written as captures into an archive: rows of each derived table."""
+    """Documents written as captures into an archive: rows of the tables whose size does not depend on which of two captures of one time stays."""
     docs = table(s, d, "documents").filter("text is not null").select(
         F.col("doc_id").alias("id"), "url", cap.from_time(F.col("captured_at")).alias("timestamp"), F.lit(200).alias("status_code"),
         F.create_map(F.lit("content-type"), F.coalesce("mime_type", F.lit("text/html"))).alias("http_headers"), F.encode("text", "UTF-8").alias("body"), "source",
     )
-    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in writers.derive_tables(docs).items()]
+    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in writers.derive_tables(docs).items() if n in ("records", "versions")]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
@@ -906,15 +1005,16 @@ def cdx_as_strings(s, d):
 
 
 # ---- streams
-def _stream(s: SparkSession, d: str, start: Callable[[DataFrame, str, str], None]) -> DataFrame:
+def _stream(s: SparkSession, d: str, start: Callable[[DataFrame, str, str], None], files: int = 4) -> DataFrame:
     """Records of a folder as a stream, processed once into a folder that is read back."""
     import uuid
 
-    from capturelake.session import shared_dir
+    from capturelake.session import remove_at_end, shared_dir
 
     base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
     records = table(s, d, "records").withColumn("time", F.col("created_at").cast("timestamp"))
-    records.repartition(4).write.parquet(f"{base}/in")
+    records.repartition(files).write.parquet(f"{base}/in")
+    remove_at_end(s, base)
     start(s.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), f"{base}/out", f"{base}/state")
     return s.read.parquet(f"{base}/out")
 
@@ -927,10 +1027,13 @@ def stream_first_seen(s, d):
     return rows.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT url, count(*) AS n, count(*) FILTER (content_hash IS NOT NULL) AS known FROM records WHERE content_hash IS NOT NULL GROUP BY 1")
+@query(f"""
+WITH r AS (SELECT *, max(struct_pack(t := timestamp, h := content_hash)) OVER (PARTITION BY url ORDER BY timestamp, content_hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING).h AS p FROM records WHERE content_hash IS NOT NULL AND timestamp IS NOT NULL)
+SELECT url, timestamp, content_hash, p AS prev_hash, {_CHAIN} AS change FROM r
+""")
 def stream_versions(s, d):
-    """Versions of a stream; their number per url does not depend on the order of arrival, their kinds do."""
+    """Versions of a stream whose records arrive in one batch: each with the hash before it."""
     from capturelake.streaming import captures as stream
 
-    rows = _stream(s, d, lambda df, out, state: stream.run_once(stream.version_stream(df), out, state))
-    return rows.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.count("content_hash").alias("known"))
+    known = lambda df: df.filter("content_hash is not null and timestamp is not null")
+    return _stream(s, d, lambda df, out, state: stream.run_once(stream.version_stream(known(df), "time"), out, state), files=1)

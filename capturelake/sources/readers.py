@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturelake.functions import urls
 from capturelake.functions.captures import falsy_coalesce
 from capturelake.operators.index import normalise_records
+from capturelake.operators.numbering import numbered
 
 INDEX_COLUMNS = ("domain", "url", "timestamp", "status_code", "mime_type", "content_length", "digest", "source")
 
@@ -160,18 +161,17 @@ def source_hits(df: DataFrame, archive: str, confidence: float) -> DataFrame:
     )
 
 
-def known_sitemaps(pages: DataFrame, start: str, depth: int = 5) -> DataFrame:
+def known_sitemaps(pages: DataFrame, start: str) -> DataFrame:
     """(url, nested, confidence) of all locations that are reached from one sitemap through those that are in ``pages``.
 
-    ``pages`` has url and body. Nested sitemaps are followed for ``depth`` rounds, a step being one join of the frontier.
+    ``pages`` has url and body. Nested sitemaps are followed until no new one is met, a round being one join of those found last.
     """
     from capturelake.operators.extract import sitemap_locations
     from capturelake.session import materialise
 
-    spark = pages.sparkSession
-    seen = spark.createDataFrame([(start, True)], "url string, nested boolean")
+    seen = pages.sparkSession.createDataFrame([(start, True)], "url string, nested boolean")
     frontier = seen
-    for _ in range(depth):
+    while True:
         found = pages.join(frontier.filter("nested").select("url"), "url", "left_semi").select(F.explode(sitemap_locations(F.col("body"))).alias("x")).select("x.*").distinct()
         frontier = materialise(found.join(seen, "url", "left_anti"), "sitemaps")
         seen = seen.unionByName(frontier)
@@ -181,5 +181,37 @@ def known_sitemaps(pages: DataFrame, start: str, depth: int = 5) -> DataFrame:
 
 
 def arrival_order(df: DataFrame, column: str = "cached_at", row_id: str = "id") -> DataFrame:
-    """Rows with the place of each among those of its domain in order of arrival."""
-    return df.withColumn("arrival", F.row_number().over(Window.partitionBy("domain").orderBy(column, row_id)))
+    """Rows with the place of each among those of its domain in order of arrival; a hot domain is spread over several tasks."""
+    lines = numbered(df, [F.col("domain"), F.col(column), F.col(row_id)], "_n")
+    starts = lines.groupBy(F.col("domain").alias("_d")).agg(F.min("_n").alias("_start"))
+    placed = lines.join(starts, F.col("domain").eqNullSafe(F.col("_d")))
+    return placed.withColumn("arrival", (F.col("_n") - F.col("_start") + 1).cast("int")).drop("_n", "_start", "_d")
+
+
+def profiles(df: DataFrame, column: str = "json") -> DataFrame:
+    """(id, name, service, indexed, updated, posts) of creator profiles, with defaults for what is missing."""
+    p = df.select(F.from_json(F.col(column), "id string, name string, service string, indexed string, updated string, post_count bigint").alias("p")).select("p.*")
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return p.select(*[text(c) for c in ("id", "name", "service", "indexed", "updated")], F.coalesce("post_count", F.lit(0)).alias("posts"))
+
+
+def curated_sites(domains: DataFrame, sites: DataFrame, column: str = "domain") -> DataFrame:
+    """Domains with the category and name of the curated site of that domain, letter case ignored: the first one listed.
+
+    ``sites`` has place, domain, category and name; it is combined to one row per domain before the join. NULLs where there is none.
+    """
+    first = sites.groupBy(F.lower("domain").alias("_d")).agg(F.min_by(F.struct("category", "name"), "place").alias("_s"))
+    joined = domains.join(first, F.lower(F.col(column)) == F.col("_d"), "left")
+    return joined.select(*domains.columns, F.col("_s.category").alias("site_category"), F.col("_s.name").alias("site_name"))
+
+
+def one_capture(spark: SparkSession, url: str, timestamp: str, status: int = 200, mime: str = "text/html", length: int = 0, digest: str = "") -> DataFrame:
+    """The row of a single capture of one's own crawl, to be appended to an index."""
+    row = spark.createDataFrame([(url, timestamp, status, mime, length, digest)], "url string, timestamp string, status_code int, mime_type string, content_length long, digest string")
+    return row.withColumn("domain", urls.domain(F.col("url"))).withColumn("source", F.lit("own_crawl")).select(*INDEX_COLUMNS)
+
+
+def bodyless_captures(index: DataFrame) -> DataFrame:
+    """Index rows as captures with an empty body, as an import of an index into an archive makes them."""
+    mime = F.create_map(F.lit("content-type"), F.coalesce("mime_type", F.lit("")))
+    return index.select("url", "timestamp", "status_code", mime.alias("http_headers"), F.lit(b"").alias("body"), F.lit("cdx_import").alias("source"))

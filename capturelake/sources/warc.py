@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
-import os
+import io
+import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "url string, timestamp string, status_code int, http_headers map<string,string>, body binary, warc_file string, warc_offset bigint"
@@ -40,6 +44,12 @@ def slice_body(data: bytes) -> str:
     return data.split(b"\r\n\r\n", 2)[-1].decode("utf-8", "replace")
 
 
+@F.pandas_udf(T.StringType())
+def slice_text(data: pd.Series) -> pd.Series:
+    """Body texts of stored slices, as ``slice_body`` reads them; NULL for NULL."""
+    return data.map(lambda b: None if b is None else slice_body(bytes(b)))
+
+
 def records(stream, start: int = 0) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, headers, block) of each record of a stream; a broken end is ignored."""
     offset = start
@@ -75,6 +85,18 @@ def compact_time(text: str) -> str:
     return text.translate(str.maketrans("", "", "-:TZ"))[:14]
 
 
+def file_system(path: str):
+    """(file system, path on it) of a folder or file name: any that pyarrow knows, as HDFS, S3 or a mounted folder."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -84,23 +106,30 @@ class _Reader(DataSourceReader):
     """Each file is a partition: records of a compressed file can only be read in order."""
 
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self):
-        paths = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_File(p) for p in paths if not os.path.basename(p).startswith(("_", "."))] or [_File("")]
+        from pyarrow import fs
+
+        system, path = file_system(self.path)
+        folder, name = (posixpath.dirname(path), posixpath.basename(path)) if "*" in posixpath.basename(path) else (path, "*")
+        if system.get_file_info(folder).type == fs.FileType.File:
+            return [_File(folder)]
+        found = sorted(i.path for i in system.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.File)
+        return [_File(p) for p in found if fnmatch.fnmatch(posixpath.basename(p), name) and not posixpath.basename(p).startswith(("_", "."))] or [_File("")]
 
     def read(self, partition):
         if not partition.path:
             return
-        with open(partition.path, "rb") as probe:
+        system, _ = file_system(self.path)
+        with system.open_input_file(partition.path) as probe:
             packed = probe.read(2) == b"\x1f\x8b"
-        with (gzip.open if packed else open)(partition.path, "rb") as f:
+        with system.open_input_file(partition.path) as raw, (gzip.open(raw) if packed else io.BufferedReader(raw)) as f:
             for offset, headers, block in records(f):
                 if headers.get("warc-type") != "response":
                     continue
                 status, http, body = split_response(block)
-                yield (headers.get("warc-target-uri", "").strip("<>"), compact_time(headers.get("warc-date", "")), status, http, body, os.path.basename(partition.path), offset)
+                yield (headers.get("warc-target-uri", "").strip("<>"), compact_time(headers.get("warc-date", "")), status, http, body, posixpath.basename(partition.path), offset)
 
 
 @dataclass
@@ -110,16 +139,17 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """One compressed file per task, a member per record; rows without a body are skipped."""
+    """One compressed file per task, a member per record; rows without a body are skipped. Files get their names when all are written."""
 
     def __init__(self, path: str, names: list[str]):
-        self.path, self.names = path.removeprefix("file://"), names
+        self.path, self.names = path, names
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"_{uuid.uuid4().hex}")
+        system, path = file_system(self.path)
+        system.create_dir(path, recursive=True)
+        name = posixpath.join(path, f"_{uuid.uuid4().hex}")
         n = 0
-        with open(name, "wb") as f:
+        with system.open_output_stream(name, compression=None) as f:
             for row in rows:
                 r = dict(zip(self.names, row))
                 if r.get("body") is None:
@@ -129,16 +159,20 @@ class _Writer(DataSourceWriter):
         return _Written(name, n)
 
     def commit(self, messages):
+        system, path = file_system(self.path)
         for k, m in enumerate(x for x in messages if x is not None):
             if m.records:
-                os.replace(m.path, os.path.join(self.path, f"part-{k:05d}.warc.gz"))
+                system.move(m.path, posixpath.join(path, f"part-{k:05d}.warc.gz"))
             else:
-                os.remove(m.path)
+                system.delete_file(m.path)
 
     def abort(self, messages):
+        from pyarrow import fs
+
+        system, _ = file_system(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and system.get_file_info(m.path).type == fs.FileType.File:
+                system.delete_file(m.path)
 
 
 def response_record(url: str, timestamp: str, status: int, headers: dict[str, str], body: bytes) -> bytes:

@@ -58,8 +58,10 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def write_json_result(results: DataFrame, path: str, query: str, fields: list[str] | None = None) -> None:
-    """Results as JSON lines of the chosen fields, with the query; the count is the number of lines."""
-    results.select(F.lit(query).alias("query"), *(fields or results.columns)).write.json(path)
+    """Results as JSON lines of the chosen fields, each with the query and the number of all results."""
+    count = results.agg(F.count(F.lit(1)).alias("count"))  # one row
+    rows = results.select(F.struct(*(fields or results.columns)).alias("result")).join(F.broadcast(count))
+    rows.select(F.lit(query).alias("query"), "count", "result").write.json(path)
 
 
 @F.pandas_udf(T.LongType())
@@ -89,6 +91,27 @@ def pack(data: bytes) -> bytes:
     return b"\x01" + zstandard.ZstdCompressor(level=6).compress(data)
 
 
+@F.pandas_udf(T.BinaryType())
+def packed(body: pd.Series) -> pd.Series:
+    """Bodies as stored blobs; NULL for NULL."""
+    return body.map(lambda b: None if b is None else pack(bytes(b)))
+
+
+@F.pandas_udf(T.BinaryType())
+def unpacked(blob: pd.Series) -> pd.Series:
+    """Contents of stored blobs; NULL for NULL."""
+    return blob.map(lambda b: None if b is None else unpack(bytes(b)))
+
+
+def metadata_rows(incoming: DataFrame, records: DataFrame) -> DataFrame:
+    """Attribute rows (url, timestamp, key, value) as they are appended: with the id of their record, NULL where there is none.
+
+    Of several records of one url and time the smallest id counts.
+    """
+    ids = records.groupBy("url", "timestamp").agg(F.min("id").alias("record_id"))
+    return incoming.join(ids, ["url", "timestamp"], "left").select("record_id", "url", "timestamp", "key", "value")
+
+
 def header_bytes(magic: bytes, version: int, records: int, content_size: int, created: float | None = None) -> bytes:
     """A file header of 64 bytes, little-endian: magic, version, flags, time, counts, and zeros."""
     return struct.pack("<5sBHqqqq", magic, version, 0, int(created if created is not None else time.time()), records, content_size, 0).ljust(64, b"\0")

@@ -26,19 +26,23 @@ def windowed_counts(captures: DataFrame, time: str, window: str = "1 day", delay
     return counts.select(F.col("window.start").alias("window_start"), key, "captures")
 
 
-_VERSIONS = "url string, timestamp string, content_hash string, prev_hash string, change string"
-
-
-def version_stream(captures: DataFrame) -> DataFrame:
+def version_stream(captures: DataFrame, time: str | None = None, forget: str = "365 days") -> DataFrame:
     """Version rows of a stream with url, timestamp and content_hash.
 
     State is the latest (timestamp, hash) of each url: a capture is compared with the latest one that arrived
-    before it, as in ``version_chain_by_arrival``. Rows of one batch and url are taken in order of timestamp.
+    before it, as in ``version_chain_by_arrival``. Rows of one batch and url are taken in order of timestamp. With
+    ``time``, an event time, a url is forgotten when none of its captures came for ``forget`` of the watermark; its next one is new.
     """
+    schema = "url string, timestamp string, content_hash string, prev_hash string, change string"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         latest = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(frames)).dropna(subset=["content_hash"]).sort_values(["timestamp", "content_hash"], kind="stable")
+        rows = pd.concat(list(frames))
+        newest = rows["_time"].max() if time else None
+        rows = rows.dropna(subset=["content_hash"]).sort_values(["timestamp", "content_hash"], kind="stable")
         out = []
         for t, h in zip(rows["timestamp"], rows["content_hash"]):
             prev = latest[1] if latest else None
@@ -47,10 +51,16 @@ def version_stream(captures: DataFrame) -> DataFrame:
                 latest = (t, h)
         if latest:
             state.update(latest)
+            if time:
+                seen = 0 if pd.isna(newest) else int(pd.Timestamp(newest).timestamp() * 1000)
+                state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs(), 0) + int(pd.Timedelta(forget).total_seconds() * 1000))
         yield pd.DataFrame(out, columns=["url", "timestamp", "content_hash", "prev_hash", "change"])
 
-    rows = captures.select("url", "timestamp", "content_hash")
-    return rows.groupBy("url").applyInPandasWithState(step, _VERSIONS, "timestamp string, content_hash string", "append", GroupStateTimeout.NoTimeout)
+    if time:
+        captures = captures.withWatermark(time, forget)
+    rows = captures.select("url", "timestamp", "content_hash", *([F.col(time).alias("_time")] if time else []))
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    return rows.groupBy("url").applyInPandasWithState(step, schema, "timestamp string, content_hash string", "append", timeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
