@@ -78,12 +78,20 @@ SELECT c.domain, c.status_code, count(*) AS captures, max(r.stored) AS stored FR
 _NUMBER = r"[+-]?([0-9]{1,3}(,[0-9]{3})+(\.0*)?|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,4})?)"
 _DATES = ["%Y%m%d%H%M%S", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%a, %d %b %Y %H:%M:%S GMT"]
 
-P4 = f"""
-WITH v AS (SELECT record_id, regexp_replace(lower(key), '[^a-z0-9]', '', 'g') AS k, trim(regexp_replace(trim(value, ' ' || chr(9) || chr(10) || chr(13)), '^"(.*)"$', '\\1'), ' ' || chr(9) || chr(10) || chr(13)) AS v FROM metadata WHERE record_id IS NOT NULL),
-j AS (SELECT record_id, attr, value_type AS t, v FROM v JOIN meta_attributes ON replace(attr, '_', '') = k WHERE lower(v) NOT IN ('', 'n/a', 'null', 'none', 'unknown', '-', '?'))
-SELECT DISTINCT record_id, attr FROM j WHERE CASE t WHEN 'string' THEN true WHEN 'double' THEN regexp_full_match(v, '{_NUMBER}')
+_CELLS = f"""
+WITH v AS (SELECT meta_id, record_id, regexp_replace(lower(key), '[^a-z0-9]', '', 'g') AS k, trim(regexp_replace(trim(value, ' ' || chr(9) || chr(10) || chr(13)), '^"(.*)"$', '\\1'), ' ' || chr(9) || chr(10) || chr(13)) AS v FROM metadata WHERE record_id IS NOT NULL),
+j AS (SELECT meta_id, record_id, attr, value_type AS t, v FROM v JOIN meta_attributes ON replace(attr, '_', '') = k WHERE lower(v) NOT IN ('', 'n/a', 'null', 'none', 'unknown', '-', '?')),
+c AS (SELECT * FROM j WHERE CASE t WHEN 'string' THEN true WHEN 'double' THEN regexp_full_match(v, '{_NUMBER}')
 WHEN 'bigint' THEN regexp_full_match(v, '{_NUMBER}') AND try_cast(replace(v, ',', '') AS DOUBLE) = floor(try_cast(replace(v, ',', '') AS DOUBLE))
-WHEN 'boolean' THEN lower(v) IN ('true', 'false', 'yes', 'no', 'on', 'off', 't', 'f', 'y', 'n', '1', '0') ELSE {' OR '.join(f"try_strptime(v, '{x}') IS NOT NULL" for x in _DATES)} END
+WHEN 'boolean' THEN lower(v) IN ('true', 'false', 'yes', 'no', 'on', 'off', 't', 'f', 'y', 'n', '1', '0') ELSE {' OR '.join(f"try_strptime(v, '{x}') IS NOT NULL" for x in _DATES)} END)
+"""
+
+P4 = f"{_CELLS} SELECT DISTINCT record_id, attr FROM c"
+P4_VALUES = f"""{_CELLS}
+, b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY record_id, attr ORDER BY meta_id DESC, v DESC) = 1)
+SELECT record_id, attr, CASE t WHEN 'bigint' THEN CAST(CAST(replace(v, ',', '') AS DECIMAL(38, 10)) AS BIGINT) END AS whole, CASE t WHEN 'double' THEN CAST(replace(v, ',', '') AS DOUBLE) END AS number,
+CASE t WHEN 'boolean' THEN lower(v) IN ('true', 'yes', 'on', 't', 'y', '1') END AS flag,
+CASE t WHEN 'string' THEN v WHEN 'timestamp' THEN strftime(coalesce({', '.join(f"try_strptime(v, '{x}')" for x in _DATES)}), '%Y%m%d%H%M%S') END AS text FROM b
 """
 
 
@@ -109,5 +117,5 @@ SELECT table_name, strftime(utc, '%Y%m') AS period, count(*) AS orphans, count(D
 """
 
 SQL = {
-    "p1_found": P1, "p1_domains": P1_DOMAINS, "p1_shared_domains": P1_SHARED, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p7_periods": P7_PERIODS,
+    "p1_found": P1, "p1_domains": P1_DOMAINS, "p1_shared_domains": P1_SHARED, "p2_found": P2, "p4_found": P4, "p4_values": P4_VALUES, "p5_found": P5, "p7_found": P7, "p7_periods": P7_PERIODS,
 }

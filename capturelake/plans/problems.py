@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturelake.functions.address import address
@@ -70,6 +70,20 @@ def p4_wide(spark: SparkSession, d: str) -> DataFrame:
     return widen(spread(table(spark, d, "metadata").select("meta_id", "record_id", "key", "value")), table(spark, d, "meta_attributes"))
 
 
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    """The typed values of the wide table, one row for each filled cell, by the type of its column."""
+    wide = p4_wide(spark, d)
+
+    def cell(f) -> Column:
+        value, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        of = lambda k, name, x=value: (x if kind == k else F.lit(None).cast("string" if k == "timestamp" else k)).alias(name)
+        text = value if kind == "string" else F.date_format(value, "yyyyMMddHHmmss") if kind == "timestamp" else F.lit(None).cast("string")
+        return F.when(value.isNotNull(), F.struct(F.lit(f.name).alias("attr"), of("bigint", "whole"), of("double", "number"), of("boolean", "flag"), text.alias("text")))
+
+    cells = F.array_compact(F.array(*[cell(f) for f in wide.schema.fields if f.name != "record_id"]))
+    return wide.select("record_id", F.explode(cells).alias("c")).select("record_id", "c.*")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "archive_sources")
     parts = []
@@ -105,4 +119,4 @@ def p7_periods(spark: SparkSession, d: str) -> DataFrame:
 
 
 __all__ = ["QUERIES", "SQL"]
-QUERIES = {f.__name__: f for f in (p1_found, p1_domains, p1_shared_domains, p2_found, p4_found, p4_wide, p5_found, p7_found, p7_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_domains, p1_shared_domains, p2_found, p4_found, p4_wide, p4_values, p5_found, p7_found, p7_periods)}
