@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capturelake.operators.skew import plan_loads
 from capturelake.session import materialise, task_count
 
 
@@ -33,12 +34,29 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
 def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, *, including: bool = False) -> DataFrame:
     """``df`` with the largest ``value`` of the rows before each row among those of its key; with ``including`` also its own.
 
-    ``order`` must be total within a key. Rows are range-partitioned by key and order, so that a key with very
-    many rows lies in several ranges; each range is run through on its own, and its first key goes on from the
-    largest value which that key has in the ranges before: two rows per range, which is all that a
-    window over several ranges sees. NULL keys are one key; NULL values do not count.
+    ``order`` must be total within a key. Keys are counted first, map-side combined. The rows of one that holds more than
+    half a task's share are cut into ranges of the order, see ``_over_ranges``; those of any other key are run through in
+    one task. NULL keys are one key; NULL values do not count.
+    """
+    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if including else -1)
+    in_one_task = lambda r: r.withColumn(name, F.max(value).over(frame))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("most"), F.sum("_n").alias("total")).first()
+    heavy = plan_loads(df.select(*keys), keys).heavy if (sizes["most"] or 0) * 2 * task_count(df.sparkSession) > (sizes["total"] or 0) else ()
+    if not heavy:
+        return in_one_task(df)
+    fields = [df.schema[k] for k in keys]
+    hot = df.sparkSession.createDataFrame([(tuple(k),) for k, _ in heavy], "_h struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields) + ">")
+    tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), F.struct(*keys).eqNullSafe(F.col("_h")), "left").drop("_h")  # two rows a task at most
+    rows = tagged.filter("_hot").select(F.struct(*keys).alias("_k"), F.struct(*order).alias("_o"), F.struct(*df.columns).alias("_row"), value.alias("_v"))
+    return in_one_task(tagged.filter("_hot is null").drop("_hot")).unionByName(_over_ranges(rows, name, including))
+
+
+def _over_ranges(rows: DataFrame, name: str, including: bool) -> DataFrame:
+    """The same for rows of hot keys: range-partitioned by key and order, so that each lies in several ranges.
+
+    Each range is run through on its own, and its first key goes on from the largest value which that key has in the
+    ranges before: two rows per range, which is all that a window over several ranges sees.
     """
-    rows = df.select(F.struct(*keys).alias("_k"), F.struct(*order).alias("_o"), F.struct(*df.columns).alias("_row"), value.alias("_v"))
     ranged = _ranges(rows, [F.col("_k"), F.col("_o")])
     frame = Window.partitionBy("_part", "_k").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0 if including else -1)
     groups = ranged.groupBy("_part", "_k").agg(F.max("_v").alias("_v"))
