@@ -20,6 +20,8 @@ BEYOND = 8
 BYTE_SLACK = 3
 #: A closing line under at least this share of distinct texts, of all or of one source, and under so many of them, is a footer.
 FOOTER_SHARE, FOOTER_TEXTS = 0.005, 5
+#: A shape of a footer's numbers that at least this share of its texts have is a usual one.
+USUAL_SHARE = 0.1
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -47,38 +49,37 @@ MEASURES = (
 )
 
 
-def _distinct_texts(inspected: DataFrame) -> DataFrame:
-    """The texts that are not blank, each once for a source, however many copies it has."""
-    return inspected.filter("verdict <> 'blank'").dropDuplicates(["source", "text_key"])
+def length_counts(inspected: DataFrame) -> DataFrame:
+    """(source, measure, length, texts): distinct texts that are not blank by source and length, however many copies they have."""
+    texts = inspected.filter("verdict <> 'blank'").dropDuplicates(["source", "text_key"])
+    return texts.select("source", F.posexplode("lengths").alias("measure", "length")).groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("texts"))
 
 
-def hidden_limits(inspected: DataFrame) -> DataFrame:
+def hidden_limits(inspected: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(source, measure, limit, texts, share): lengths at which a source cuts its texts.
 
     Distinct texts are counted by source, measure and length, map-side combined; a length is a limit if it stands out of
     the lengths around it, so a source may have any number of limits, one for each measure or period. Of the measures
     that stand out at the same number, the one that most texts reach is the limit; it casts the others. The counts, not
-    the texts, are what moves: one row per source, measure and length. ``inspected`` is the result of ``inspect``.
+    the texts, are what moves: one row per source, measure and length. ``inspected`` is the result of ``inspect``,
+    ``counts`` that of ``length_counts``.
     """
-    rows = _distinct_texts(inspected).select("source", F.posexplode("lengths").alias("measure", "length"))
-    counts = rows.groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("texts"))
-    group = lambda x: [F.col(c).alias(f"_{c}{x}") for c in ("source", "measure")]
-    same = lambda x: F.col("source").eqNullSafe(F.col(f"_source{x}")) & (F.col("measure") == F.col(f"_measure{x}"))
-    totals = counts.groupBy(*group(1)).agg(F.sum("texts").alias("total"))
-    bin_of = F.floor(F.col("length") / BIN)
-    around = F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("_bin")
-    near = counts.select("source", "measure", "texts", around).groupBy(*group(2), "_bin").agg(F.sum("texts").alias("near"))
-    likely = counts.filter(F.col("texts") >= MIN_AT_LIMIT).join(totals, same(1)).filter(F.col("texts") >= MIN_SHARE * F.col("total"))
-    names = F.array(*[F.lit(m) for m in MEASURES])
-    beyond = counts.select("source", "measure", "texts", F.explode(F.sequence(F.col("length") - BEYOND, F.col("length") - 1)).alias("_at"))
-    beyond = beyond.groupBy(*group(3), "_at").agg(F.sum("texts").alias("beyond"))
-    likely = likely.join(beyond, same(3) & (F.col("length") == F.col("_at")), "left").filter(F.coalesce("beyond", F.lit(0)) * SPIKE <= F.col("texts") * BEYOND)
-    standing = likely.join(near, same(2) & (bin_of == F.col("_bin"))).filter((F.col("near") - F.col("texts")) * SPIKE <= F.col("texts") * (3 * BIN - 1))
+    counts = length_counts(inspected) if counts is None else counts
+    group = Window.partitionBy("source", "measure")
+    seen = counts.select(
+        "*", F.sum("texts").over(group).alias("total"), F.sum("texts").over(group.orderBy(F.floor(F.col("length") / BIN)).rangeBetween(-1, 1)).alias("near"),
+        F.coalesce(F.sum("texts").over(group.orderBy("length").rangeBetween(1, BEYOND)), F.lit(0)).alias("beyond"),
+    )
+    standing = seen.filter(
+        (F.col("texts") >= MIN_AT_LIMIT) & (F.col("texts") >= MIN_SHARE * F.col("total")) & (F.col("beyond") * SPIKE <= F.col("texts") * BEYOND)
+        & ((F.col("near") - F.col("texts")) * SPIKE <= F.col("texts") * (3 * BIN - 1))
+    )
     rank = F.row_number().over(Window.partitionBy("source", "length").orderBy(F.desc("texts"), "measure"))  # seven rows at most
+    names = F.array(*[F.lit(m) for m in MEASURES])
     return (
         standing.withColumn("_rank", rank).filter("_rank = 1")
         .select("source", F.element_at(names, F.col("measure") + 1).alias("measure"), F.col("length").alias("limit"), "texts", (F.col("texts") / F.col("total")).alias("share"))
-    )
+    )
 
 
 #: Letters that UTF-8 bytes become under a code page of one byte.
@@ -143,6 +144,11 @@ def _template(line: str) -> str:
     return line if re.fullmatch(r"[\WA9]*", out) else out
 
 
+def _form(line: str) -> str:
+    """The template with a 9 for each digit."""
+    return re.sub(r"\d", "9", _NAMES.sub("A", _PLACES.sub("U", line)))
+
+
 def ending(text: str | None) -> tuple[str, str]:
     """(verdict, template) of a text's end.
 
@@ -154,46 +160,46 @@ def ending(text: str | None) -> tuple[str, str]:
     return _judged(text)[:2]
 
 
-def _judged(text: str | None) -> tuple[str, str, str]:
-    """(verdict, template, what stands above the last line) of a text; the last is given for open endings only."""
+def _judged(text: str | None) -> tuple[str, str, str, str]:
+    """(verdict, template, what stands above the last line, shape) of a text; the last two are given for open endings only."""
     if text is None:
-        return "blank", "", ""
+        return "blank", "", "", ""
     end = _TAIL_BLANKS.sub("", text)
     if not end:
-        return "blank", "", ""
+        return "blank", "", "", ""
     start = max(end.rfind(c) for c in "\r\n\x0b\x0c\u2028\u2029") + 1
     if _MOJIBAKE.search(end, start):
         end = _TAIL_BLANKS.sub("", end[:start] + _mended(end[start:])) or end
     if _OPEN_TAG.match(end, max(end.rfind("<"), 0)) and not end.endswith("<>"):
-        return "cut", "", ""
+        return "cut", "", "", ""
     lines = [x.strip() for x in re.split(r"[\r\n\x0b\x0c\u2028\u2029]+", end) if x.strip()]
     last = lines[-1]
     template = _template(last)
     if _PAGE_LINE.search(text) or text.lstrip().startswith("<") and _PAGE.search(text):
         if _CLOSED_PAGE.search(end) or end.endswith(">"):
-            return "complete", template, ""
-        return "cut", template, ""
+            return "complete", template, "", ""
+        return "cut", template, "", ""
     if _SEPARATOR.match(last):
-        return "complete", template, ""
+        return "complete", template, "", ""
     if _single_word(end):
-        return ("cut" if end[-1] in ",;:\u3001\uff0c\uff1a\uff1b" and len(end) > 1 else "complete"), template, ""
+        return ("cut" if end[-1] in ",;:\u3001\uff0c\uff1a\uff1b" and len(end) > 1 else "complete"), template, "", ""
     if _LOG.match(last) or _LISTING.match(last):
-        return "complete", template, ""
+        return "complete", template, "", ""
     above = lines[-2] if len(lines) > 1 else ""
     if above and (_LOG.match(above) or _LISTING.match(above)):
         first = _LOG_START.match(last)
         if first:
-            return "cut", template, ""
+            return "cut", template, "", ""
         if len(last.split()) < len(above.split()) and (_LISTING.match(above) or not _ENDS.search(last)):
-            return "open", template, end[: len(end) - len(last)]  # a line under the list, or one of it that lacks its end
+            return "open", template, end[: len(end) - len(last)], _form(last)  # a line under the list, or one of it that lacks its end
     if len(lines) > 2 and len(above.split()) > 2:
         a, b, c = (x.split() for x in lines[-3:])
         if len(a) == len(b) and [_shape(x) for x in (a[0], a[-1])] == [_shape(x) for x in (b[0], b[-1])] and re.search(r"\d", a[-1] + a[0]):
             if len(c) == len(b) and _shape(c[-1]) == _shape(b[-1]):
-                return "complete", template, ""
+                return "complete", template, "", ""
     if _ENDS.search(end):
-        return ("cut" if _SHORT_END.search(last) else "complete"), template, ""
-    return "open", template, end[: len(end) - len(last)]
+        return ("cut" if _SHORT_END.search(last) else "complete"), template, "", ""
+    return "open", template, end[: len(end) - len(last)], _form(last)
 
 
 def _key(text: str) -> int:
@@ -202,57 +208,61 @@ def _key(text: str) -> int:
 
 
 def inspect(df: DataFrame, *, text: str = "text", row_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(row_id, source, lengths, text_key, verdict, template, above, goes_on) of each row, from its whole text.
+    """(row_id, source, lengths, text_key, verdict, template, above, shape, goes_on) of each row, from its whole text.
 
     text_key, template and above identify the text and, for open endings, its last line and what stands above it;
-    goes_on says whether that line ends in a name, number or address, which may have been longer.
+    shape is its last line with only the values of its digits taken out, goes_on says whether it ends in a number, which may have been longer.
     """
     id_type = df.schema[row_id].dataType.simpleString()
-    names = ["row_id", "source", "lengths", "text_key", "verdict", "template", "above", "goes_on"]
+    names = ["row_id", "source", "lengths", "text_key", "verdict", "template", "above", "shape", "goes_on"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = [_judged(t) for t in b.column(4).to_pylist()]
-            keys = [pa.array([_key(x[k]) if x[0] == "open" else None for x in seen], pa.int64()) for k in (1, 2)]
-            goes_on = pa.array([x[0] == "open" and x[1].endswith(("9", "A", "U")) for x in seen], pa.bool_())
+            keys = [pa.array([_key(x[k]) if x[0] == "open" else None for x in seen], pa.int64()) for k in (1, 2, 3)]
+            goes_on = pa.array([x[0] == "open" and x[3].endswith("9") for x in seen], pa.bool_())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([x[0] for x in seen], pa.string()), *keys, goes_on], names=names)
 
     lengths = F.array(*[measures(F.col(text))[m].cast("long") for m in MEASURES])
     rows = df.select(F.col(row_id).alias("row_id"), F.col(source).alias("source"), lengths.alias("lengths"), F.xxhash64(text).alias("text_key"), text)
-    return rows.mapInArrow(look, f"row_id {id_type}, source string, lengths array<bigint>, text_key bigint, verdict string, template bigint, above bigint, goes_on boolean")
+    return rows.mapInArrow(look, f"row_id {id_type}, source string, lengths array<bigint>, text_key bigint, verdict string, template bigint, above bigint, shape bigint, goes_on boolean")
 
 
-def footers(inspected: DataFrame) -> DataFrame:
-    """(source, template, texts): closing lines that are no unfinished sentences, learned from their frequencies.
+def footers(inspected: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(everywhere, source, template, texts, shapes): closing lines that are no unfinished sentences, learned from their frequencies.
 
     A line with an open ending is a footer if enough distinct texts close with it under different ones: of the corpus
-    (``source`` is then NULL and ``everywhere`` true), or of one source. Copies of one text count once there, and so do all
-    texts of that one line. At most ``1 / FOOTER_SHARE`` lines of the corpus, and of each source, can be that frequent.
+    (``everywhere``; source is then NULL), or of one source. Copies of one text count once there, and so do all texts of
+    that one line. At most ``1 / FOOTER_SHARE`` lines of the corpus, and of each source, can be that frequent. shapes are
+    the usual ones of the line, by how many digits its numbers have.
     """
-    texts = _distinct_texts(inspected)
-    totals = texts.groupBy(F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("_total"))
-    whole = texts.agg(F.countDistinct("text_key").alias("_total"))  # one row
-    lines = texts.filter("verdict = 'open'").select("source", "template", "above").distinct()
-    enough = lambda n, total: (n >= FOOTER_TEXTS) & (n >= FOOTER_SHARE * total)
-    own = lines.groupBy("source", "template").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= FOOTER_TEXTS)
-    own = own.join(totals, F.col("source").eqNullSafe(F.col("_source"))).filter(enough(F.col("texts"), F.col("_total")))
-    common = lines.groupBy("template").agg(F.countDistinct("above").alias("texts")).join(F.broadcast(whole)).filter(enough(F.col("texts"), F.col("_total")))
-    columns = ("template", "texts")
-    return own.select(F.lit(False).alias("everywhere"), "source", *columns).unionByName(common.select(F.lit(True).alias("everywhere"), F.lit(None).cast("string").alias("source"), *columns))
+    counts = length_counts(inspected) if counts is None else counts
+    totals = counts.filter("measure = 0").groupBy(F.col("source").alias("_source")).agg(F.sum("texts").alias("_own"))
+    whole = totals.agg(F.sum("_own").alias("_all"))  # one row
+    lines = inspected.filter("verdict = 'open'").select("template", "source", "shape", "above").distinct()
+    own = lines.groupBy("template", "source", "shape").agg(F.count(F.lit(1)).alias("texts"))
+    both = own.select("template", "shape", F.explode(F.array(F.struct(F.lit(False).alias("everywhere"), "source"), F.struct(F.lit(True).alias("everywhere"), F.lit(None).cast("string").alias("source")))).alias("x"), "texts")
+    shaped = both.groupBy("template", "x", "shape").agg(F.sum("texts").alias("_n")).withColumn("texts", F.sum("_n").over(Window.partitionBy("template", "x"))).filter(F.col("texts") >= FOOTER_TEXTS)
+    usual = F.collect_list(F.when(F.col("_n") >= USUAL_SHARE * F.col("texts"), F.col("shape"))).alias("shapes")
+    summed = shaped.groupBy("template", "x", "texts").agg(usual).select("x.*", "template", "texts", "shapes")
+    placed = summed.join(F.broadcast(whole)).join(totals, ~F.col("everywhere") & F.col("source").eqNullSafe(F.col("_source")), "left")
+    enough = F.col("texts") >= FOOTER_SHARE * F.when(F.col("everywhere"), F.col("_all")).otherwise(F.col("_own"))
+    return placed.filter(enough).select("everywhere", "source", "template", "texts", "shapes")
 
 
 def judge(inspected: DataFrame) -> DataFrame:
     """(row_id, source, cut, at_limit) of each text that is not blank, from the result of ``inspect``, written as a table.
 
     Limits are found from the lengths of all texts. An ending that is open is a footer if enough distinct texts of the
-    corpus or of its source close with the same whole line under different ones. Where that line ends in a name, number or
-    address, a text at a limit of its source is cut, since the limit explains the ending; so is any other text with an
-    open ending. A complete ending at a limit is no cut, it may be a
+    corpus or of its source close with the same whole line under different ones. Where that line ends in a number with
+    fewer or more digits than is usual there, a text at a limit of its source is cut, since the limit explains the ending;
+    so is any other text with an open ending. A complete ending at a limit is no cut, it may be a
     text that was padded. NULL and blank texts do not come out; repeated rows come out as often as they are stored; an
     empty table gives none.
     """
     seen = inspected.filter("verdict <> 'blank'")
-    known = hidden_limits(inspected).select(
+    counts = length_counts(inspected)
+    known = hidden_limits(inspected, counts).select(
         F.col("source").alias("_source"), F.struct((F.array_position(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure"))).cast("int").alias("at"), "limit").alias("_limit")
     )
     limits = known.groupBy("_source").agg(F.collect_list("_limit").alias("_limits"))  # at most 1 / MIN_SHARE per measure
@@ -261,9 +271,9 @@ def judge(inspected: DataFrame) -> DataFrame:
         slack = F.element_at(F.array(*[F.lit(BYTE_SLACK if m.endswith("bytes") else 0) for m in MEASURES]), x["at"])
         return F.element_at(F.col("lengths"), x["at"]).between(x["limit"] - slack, x["limit"])
 
-    learned = footers(inspected)
-    own = learned.filter("not everywhere").select(F.col("source").alias("_own"), F.col("template").alias("_t1"))
-    common = learned.filter("everywhere").select(F.col("template").alias("_t2"))  # at most 1 / FOOTER_SHARE
+    learned = footers(inspected, counts)
+    own = learned.filter("not everywhere").select(F.col("source").alias("_own"), F.col("template").alias("_t1"), F.col("shapes").alias("_s1"))
+    common = learned.filter("everywhere").select(F.col("template").alias("_t2"), F.col("shapes").alias("_s2"))  # at most 1 / FOOTER_SHARE
     rows = (
         seen.join(limits, F.col("source").eqNullSafe(F.col("_source")), "left")
         .join(F.broadcast(common), F.col("template") == F.col("_t2"), "left")
@@ -271,5 +281,6 @@ def judge(inspected: DataFrame) -> DataFrame:
     )
     at_limit = F.coalesce(F.exists("_limits", hit), F.lit(False))
     footer = F.col("_t1").isNotNull() | F.col("_t2").isNotNull()
-    cut = (F.col("verdict") == "cut") | (F.col("verdict") == "open") & (~footer | at_limit & F.col("goes_on"))
+    usual = F.array_contains(F.coalesce("_s2", "_s1"), F.col("shape"))
+    cut = (F.col("verdict") == "cut") | (F.col("verdict") == "open") & (~footer | at_limit & F.col("goes_on") & ~usual)
     return rows.select("row_id", "source", cut.alias("cut"), at_limit.alias("at_limit"))

@@ -259,7 +259,7 @@ def test_two_limits_and_new_footers(spark):
     rows = [(k, "a", (text(200))[: 500 if k % 3 else 300]) for k in range(300)] + [(1000 + k, "a", text(rng.randint(5, 70))) for k in range(300)]
     # a source with a footer that nothing else has, of which every fourth is cut inside it at the source's limit
     foot = lambda k: f"{text(rng.randint(4, 30))}\nVerbatim copy kept by the Oblo guild, leaf {1000 + k}"
-    rows += [(2000 + k, "b", foot(k)) for k in range(60)]
+    rows += [(2000 + k, "b", foot(k)) for k in range(300)]
     rows += [(3000 + k, "b", (text(60)[:203] + ".\nVerbatim copy kept by the Oblo guild, leaf 12345")[:250]) for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     seen = materialise(truncation.inspect(df), "t")
