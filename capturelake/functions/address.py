@@ -117,7 +117,7 @@ def address(url: Column) -> Column:
 def _respelled(url: Column) -> Column:
     """The address of a text that may be spelled in any way."""
     text = F.when(url.rlike(BLANKS), F.regexp_replace(url, BLANKS, "")).otherwise(url)
-    text = F.when(text.contains("&"), F.regexp_replace(_entities(text), BLANKS, "")).otherwise(text)
+    text = F.when(text.rlike("&#?[A-Za-z0-9]{1,32};"), F.regexp_replace(_entities(text), BLANKS, "")).otherwise(text)
     return let(F.lower(text), _from_plain)
 
 
