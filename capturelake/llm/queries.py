@@ -46,6 +46,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.best_hits(_hits(spark, d))
 
 
+def p6_fields(spark: SparkSession, d: str) -> DataFrame:
+    """One built record per address, each field from the best hit that has it, none by currency."""
+    return survivor.survivors(_hits(spark, d), current=())
+
+
 def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
     """One built record per address, its status and type by currency where no hit has an instant; the hits are parsed once."""
     return survivor.survivors(materialise(_hits(spark, d), "hits"))
@@ -100,5 +105,5 @@ def p10_limits(spark: SparkSession, d: str) -> DataFrame:
 __all__ = ["QUERIES", "SQL"]
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_collapsed, p6_found, p6_survivors, p8_ids, p8_lengths, p9_found, p9_items, p10_found, p10_sources, p10_limits)
+    for f in (p3_found, p3_collapsed, p6_found, p6_fields, p6_survivors, p8_ids, p8_lengths, p9_found, p9_items, p10_found, p10_sources, p10_limits)
 }

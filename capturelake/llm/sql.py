@@ -26,6 +26,14 @@ SELECT min(hit_id) AS group_hit_id, first(hit_id ORDER BY {_RANK}) AS top_hit_id
 coalesce(first(hit_id ORDER BY {_RANK}) FILTER (utc IS NOT NULL), 0) AS timestamp_hit_id FROM h GROUP BY addr HAVING count(*) > 1
 """
 
+_TEXTS = ("url", "archive", "status", "mimetype", "download_url")
+_BEST = "first({0} ORDER BY " + _RANK + ") FILTER ({1}) AS {0}"
+P6_FIELDS = f"""
+WITH h AS (SELECT * REPLACE (CASE WHEN size > 0 THEN size END AS size, CASE WHEN NOT isnan(confidence) THEN confidence END AS confidence, {', '.join(f"CASE WHEN trim({c}, ' ') NOT IN ('', '-') THEN {c} END AS {c}" for c in _TEXTS)}), CAST(epoch(utc) AS BIGINT) AS instant
+ FROM {addressed(with_utc('archive_hits', 'archive'), 'url')} x WHERE addr IS NOT NULL)
+SELECT min(hit_id) AS group_hit_id, count(*) AS hits, {', '.join(_BEST.format(c, c + ' IS NOT NULL') for c in (*_TEXTS, 'size', 'confidence', 'instant'))}, {_BEST.format('timestamp', 'utc IS NOT NULL')} FROM h GROUP BY addr
+"""
+
 _INVISIBLE = r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
 _PLAIN = "regexp_replace(text, '<!--.*?-->|</?[a-zA-Z][^<>]*>', ' ', 'g')"
 for _entity, _char in (("&nbsp;", "' '"), ("&amp;", "'&'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&shy;", "''")):
@@ -64,4 +72,4 @@ SELECT source, measure, len AS "limit", n AS texts, round(n / total, 6) AS share
 QUALIFY row_number() OVER (PARTITION BY source, len ORDER BY n DESC, k) = 1
 """
 
-SQL = {"p3_found": P3, "p3_collapsed": P3_COLLAPSED, "p6_found": P6, "p9_found": P9, "p9_items": P9_ITEMS, "p10_limits": P10_LIMITS}
+SQL = {"p3_found": P3, "p3_collapsed": P3_COLLAPSED, "p6_found": P6, "p6_fields": P6_FIELDS, "p9_found": P9, "p9_items": P9_ITEMS, "p10_limits": P10_LIMITS}
