@@ -810,6 +810,16 @@ def phrase_search(s, d):
     return fulltext.search(fulltext.postings(table(s, d, "documents"), stemmed=False), '"error page"', stemmed=False)
 
 
+@query(r"""
+WITH t AS (SELECT doc_id AS doc, unnest(list_filter(regexp_split_to_array(lower(substr(text, 1, 1000)), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc, count(*) AS words, count(DISTINCT w) AS terms FROM t GROUP BY 1
+""")
+def capped_postings(s, d):
+    """Words of the first thousand characters of each text: the cap of an archive's text field, which is a parameter."""
+    index_ = fulltext.postings(table(s, d, "documents"), stemmed=False, cap=1000)
+    return index_.groupBy("doc").agg(F.count(F.lit(1)).alias("words"), F.countDistinct("term").alias("terms"))
+
+
 @query()
 def stemmed_search(s, d):
     return fulltext.search(fulltext.postings(table(s, d, "documents")), "downloads AND archive* OR mirrored")

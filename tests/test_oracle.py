@@ -1,4 +1,4 @@
-"""Each query with SQL gives the rows of its SQL; each of the others runs and keeps its columns."""
+"""Each query with SQL gives the rows of its SQL; the few others run here and are compared with brute force in tests of their own."""
 
 import datetime
 import decimal
