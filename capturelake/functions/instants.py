@@ -137,12 +137,21 @@ def _at_zone(local: Column, zone: Column) -> Column:
     return let(utc, lambda u: F.when(F.from_utc_timestamp(u, zone) == clock, F.unix_seconds(u)))
 
 
+def _civil_seconds(text: Column) -> Column:
+    """Clock time of a 14-digit text, as seconds since 1970 as if it were UTC; NULL if there is no such time."""
+    year, month, day, hour, minute, second = (F.substring(text, a, n).cast("int") for a, n in ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2), (13, 2)))
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    good = (year >= 1) & month.between(1, 12) & day.between(1, last) & (hour <= 23) & (minute <= 59) & (second <= 59)
+    return F.when(good, _days(year, month, day) * 86400 + hour * 3600 + minute * 60 + second)
+
+
 def utc_seconds(text: Column, default_zone: Column) -> Column:
     """UTC second that a timestamp text names; NULL if it names none.
 
     A text without a zone is clock time in ``default_zone`` (an IANA name; NULL or an unknown name:
     no instant). NULL, '', dates without a time, impossible or skipped clock times and unknown
-    zones give NULL. A 14-digit text that is valid in UTC needs no expression match.
+    zones give NULL. A 14-digit text needs no expression match.
     """
 
     def instant(c: Column) -> Column:
@@ -161,7 +170,9 @@ def utc_seconds(text: Column, default_zone: Column) -> Column:
 
         return F.when(c["kind"] == "epoch", c["local"]).when(c["kind"] == "time", let(zone, placed))
 
-    return let(components(text), instant)
+    digits = _civil_seconds(text)
+    plain = F.when(default_zone == "UTC", digits).otherwise(_at_zone(digits, default_zone))
+    return F.when(text.rlike(r"^[0-9]{14}\z") & default_zone.isin(*known_zones()), plain).otherwise(let(components(text), instant))
 
 
 def _abbreviations() -> Column:
