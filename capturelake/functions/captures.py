@@ -66,23 +66,22 @@ def url_digest(url: Column) -> Column:
     return F.md5(url)
 
 
-# First bytes of file formats, in order of precedence.
+# First bytes of file formats, in hex, in order of precedence.
 MAGIC = (
-    ("png", "89504E47"), ("jpeg", "FFD8FF"), ("gif", "47494638"), ("zip", "504B0304"), ("rar", "52617221"), ("gzip", "1F8B"),
-    ("pdf", "25504446"), ("exe", "4D5A"), ("mp3", "494433"), ("mp3", "FFFB"), ("ogg", "4F676753"), ("flac", "664C6143"),
-    ("riff", "52494646"), ("midi", "4D546864"), ("swf", "465753"), ("swf", "435753"), ("7z", "377ABCAF271C"), ("bmp", "424D"),
-    ("mkv", "1A45DFA3"), ("ole", "D0CF11E0"),
+    ("mp3", "FFFB"), ("mp3", "FFF3"), ("mp3", "FFF2"), ("mp3", "494433"), ("flac", "664C6143"), ("wav/avi", "52494646"), ("ogg", "4F676753"),
+    ("mp4", "00000018667479706D7034"), ("mp4", "0000001C667479706D7034"), ("mp4", "00000020667479706D7034"), ("mkv/webm", "1A45DFA3"), ("zip/epub/docx/apk", "504B0304"), ("rar", "526172211A07"),
+    ("7z", "377ABCAF271C"), ("gzip", "1F8B"), ("pdf", "25504446"), ("png", "89504E47"), ("jpeg", "FFD8FF"), ("gif", "474946383761"), ("gif", "474946383961"), ("exe/dll", "4D5A"), ("doc/xls/ppt (OLE)", "D0CF11E0"),
 )
+#: More formats that old pages link to.
+OLD_MEDIA = (("midi", "4D546864"), ("swf", "465753"), ("swf", "435753"), ("bmp", "424D"))
 
 
-def magic_type(body: Column) -> Column:
+def magic_type(body: Column, formats: tuple[tuple[str, str], ...] = MAGIC) -> Column:
     """Format by the first bytes, first match wins; ``unknown`` if none matches, NULL for NULL."""
     out = F.lit("unknown")
-    for name, prefix in reversed(MAGIC):
+    for name, prefix in reversed(formats):
         n = len(prefix) // 2
         out = F.when(F.hex(F.substring(body, 1, n)) == prefix, F.lit(name)).otherwise(out)
-    # the name of the format stands behind the size of the first box
-    out = F.when(F.hex(F.substring(body, 5, 4)) == "66747970", "mp4").otherwise(out)
     return F.when(body.isNotNull(), out)
 
 

@@ -122,6 +122,11 @@ def status_among(status: Column, words: list[str]) -> Column:
     return test
 
 
+def by_size(size: Column) -> list[Column]:
+    """Order of the captures of a file: the largest first, unknown sizes last."""
+    return [size.desc_nulls_last()]
+
+
 def by_confidence_and_category(confidence: Column, category: Column) -> list[Column]:
     """Order of targets: the surest first, then by category."""
     return [confidence.desc_nulls_last(), category.asc_nulls_first()]

@@ -254,6 +254,11 @@ def surest_by_category(s, d):
     return table(s, d, "discoveries").orderBy(*order, "discovery_id").limit(100).select("discovery_id")
 
 
+@query("SELECT hit_id, size FROM archive_hits ORDER BY size DESC NULLS LAST, hit_id LIMIT 100")
+def largest_first(s, d):
+    return table(s, d, "archive_hits").orderBy(*index.by_size(F.col("size")), "hit_id").limit(100).select("hit_id", "size")
+
+
 @query("SELECT hit_id FROM archive_hits ORDER BY confidence DESC NULLS LAST, size DESC NULLS LAST, hit_id LIMIT 100")
 def surest_by_size(s, d):
     return table(s, d, "archive_hits").orderBy(*index.by_confidence_and_size(F.col("confidence"), F.col("size")), "hit_id").limit(100).select("hit_id")
@@ -577,13 +582,15 @@ def content_hashes(s, d):
     return table(s, d, "documents").filter("text is not null").select("doc_id", cap.content_hash(F.col("text")).alias("content_hash"), cap.url_digest(F.col("url")).alias("url_digest"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN starts_with(text, 'GIF8') THEN 'gif' WHEN starts_with(text, 'Rar!') THEN 'rar' WHEN starts_with(text, '%PDF') THEN 'pdf' WHEN starts_with(text, 'MZ') THEN 'exe'
-WHEN starts_with(text, 'ID3') THEN 'mp3' WHEN starts_with(text, 'OggS') THEN 'ogg' WHEN starts_with(text, 'fLaC') THEN 'flac' WHEN starts_with(text, 'RIFF') THEN 'riff' WHEN starts_with(text, 'MThd') THEN 'midi'
-WHEN starts_with(text, 'FWS') OR starts_with(text, 'CWS') THEN 'swf' WHEN starts_with(text, 'BM') THEN 'bmp' ELSE 'unknown' END AS kind FROM documents WHERE text IS NOT NULL
-""")
+_KINDS = [n for n, _ in cap.MAGIC] + ["unknown"]
+
+
+@query(f"SELECT doc_id, ([{', '.join(repr(k) for k in _KINDS)}])[doc_id % {len(_KINDS)} + 1] AS kind FROM documents WHERE text IS NOT NULL")
 def magic_type(s, d):
-    return table(s, d, "documents").filter("text is not null").select("doc_id", cap.magic_type(F.encode("text", "UTF-8")).alias("kind"))
+    """Texts behind the first bytes of each format in turn, and of none."""
+    prefixes = F.array(*[F.lit(p) for _, p in cap.MAGIC], F.lit("00"))
+    prefix = F.unhex(F.element_at(prefixes, (F.col("doc_id") % len(_KINDS) + 1).cast("int")))
+    return table(s, d, "documents").filter("text is not null").select("doc_id", cap.magic_type(F.concat(prefix, F.encode("text", "UTF-8"))).alias("kind"))
 
 
 # ---- extraction

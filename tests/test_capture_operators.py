@@ -86,7 +86,7 @@ def test_sizes_and_magic(spark):
     df = spark.createDataFrame([(1, 1023), (2, 1536), (3, 47360), (4, 5 * 1024**2), (5, 3 * 1024**3)], "i int, n long")
     assert [r["x"] for r in df.orderBy("i").select(cap.human_bytes(F.col("n")).alias("x")).collect()] == ["1023 B", "1.5 KB", "46.2 KB", "5.0 MB", "3.00 GB"]
     df = spark.createDataFrame([(1, bytearray(b"MThd....")), (2, bytearray(b"<html>xx")), (3, bytearray(b"x")), (4, None)], "i int, b binary")
-    rows = df.orderBy("i").select(cap.magic_type(F.col("b")).alias("m"), cap.plausible_content(F.col("b"), F.lit("mp3")).alias("p")).collect()
+    rows = df.orderBy("i").select(cap.magic_type(F.col("b"), cap.MAGIC + cap.OLD_MEDIA).alias("m"), cap.plausible_content(F.col("b"), F.lit("mp3")).alias("p")).collect()
     assert [tuple(r) for r in rows] == [("midi", True), ("unknown", False), ("unknown", False), (None, False)]
 
 
@@ -335,3 +335,63 @@ def test_reports(spark):
     assert {r["domain"]: r["counts"] for r in reports.sparkline_map(df).collect()} == {"a": {"1999": 1, "2001": 1}}
     empty = spark.createDataFrame([], "content_hash string, content_size long, compressed_size long")
     assert tuple(reports.dedupe_ratio(empty).first())[:4] == (0, 0, 0, 0)
+
+
+# ---- targets, sites and first-seen rows
+def test_targets_with_nulls(spark):
+    rows = [(1, "mp3", "audio", 0.9, "200"), (2, None, "potential_download", None, None), (3, "", None, 0.2, "Defunct since 2004"), (4, "zip", "potential_download", 0.3, "dead")]
+    df = spark.createDataFrame(rows, "id int, ext string, category string, c double, status string")
+    ids = lambda test: sorted(r["id"] for r in df.filter(test).collect())
+    assert ids(index.likely_file(F.col("ext"), F.col("c"))) == [1, 4]
+    assert ids(index.wanted_target(F.col("ext"), F.col("category"), ["mp3"], ["mp3", "zip"])) == [1, 2]
+    assert ids(index.status_among(F.col("status"), ["dead", "frozen", "defunct"])) == [3, 4]
+    order = [r["id"] for r in df.orderBy(*index.by_confidence_and_category(F.col("c"), F.col("category"))).collect()]
+    assert order == [1, 4, 3, 2] and df.limit(0).filter(index.likely_file(F.col("ext"), F.col("c"))).count() == 0
+
+
+def test_first_seen_keys(spark):
+    rows = [(1, "d", "http://x.test/a?1"), (2, "d", "http://x.test/b"), (3, "", "http://x.test/c"), (4, "", "http://x.test/d"), (5, None, "http://x.test/A"), (6, None, "http://x.test/A"), (7, None, None)]
+    df = spark.createDataFrame(rows, "id int, digest string, url string")
+    ids = lambda out: sorted(r["id"] for r in out.collect())
+    assert ids(index.first_by_digest_or_url(df, [F.col("id")])) == [1, 3, 5, 7]
+    assert ids(index.first_by_file_name(df, [F.col("id")])) == [1, 2, 3, 4, 7] and ids(index.first_by_file_name(df, [F.col("id")], keep_case=True)) == [1, 2, 3, 4, 5, 7]
+    assert index.first_by_file_name(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_curated_sites(spark):
+    sites = spark.createDataFrame([(2, "X.test", "games", "second"), (1, "x.TEST", "audio", "first"), (3, None, "none", "nobody")], "place int, domain string, category string, name string")
+    domains = spark.createDataFrame([("x.test",), ("y.test",), (None,)], "domain string")
+    assert sorted((str(r["domain"]), r["site_category"], r["site_name"]) for r in readers.curated_sites(domains, sites).collect()) == [("None", None, None), ("x.test", "audio", "first"), ("y.test", None, None)]
+    assert readers.curated_sites(domains, sites.limit(0)).count() == 3
+
+
+def test_prefix_inside_a_host(spark):
+    caps = spark.createDataFrame([(1, "pages.x.test", "http://pages.x.test/a"), (2, "y.test", "http://y.test/"), (3, None, None)], "id int, domain string, url string")
+    wishes = spark.createDataFrame([("a", "prefix", "http://pages."), ("b", "prefix", "http://pages.x.test/"), ("c", "domain", "Y.test"), ("d", "prefix", "http"), ("e", "prefix", None)], "wish string, kind string, pattern string")
+    assert sorted(tuple(r) for r in versions.wish_matches(caps, wishes).collect()) == [("a", 1), ("b", 1), ("c", 2), ("d", 1), ("d", 2)]
+    assert versions.wish_matches(caps.limit(0), wishes).count() == 0 and versions.wish_matches(caps, wishes.limit(0)).count() == 0
+
+
+def test_sitemaps_to_the_fixpoint(spark):
+    pages = spark.createDataFrame([(f"http://m.test/s{k}.xml", f"<loc>http://m.test/s{k + 1}.xml</loc><loc>http://m.test/p{k}</loc>") for k in range(9)], "url string, body string")
+    found = {r["url"] for r in readers.known_sitemaps(pages, "http://m.test/s0.xml").collect()}
+    assert found == {f"http://m.test/p{k}" for k in range(9)} | {f"http://m.test/s{k}.xml" for k in range(1, 10)}
+
+
+def test_path_predictions(spark):
+    caps = spark.createDataFrame([("d.test", "http://d.test/wp-content/x-1999.gif"), ("d.test", "http://d.test/files/"), ("e.test", "http://e.test/a"), ("e.test", None)], "domain string, url string")
+    got = {(r["domain"], r["path"]): (r["confidence"], r["reason"]) for r in classify.path_predictions(caps).collect()}
+    assert got[("d.test", "/wp-content/uploads/")] == (0.7, "default directory") and ("d.test", "/files/") not in got and ("e.test", "/files/") in got
+    assert got[("d.test", "/wp-content/x-2000.gif")] == (0.6, "year series") and ("e.test", "/wp-content/uploads/") not in got
+    assert classify.path_predictions(caps.limit(0)).count() == 0
+
+
+def test_host_kinds(spark):
+    cases = {"http://b.s3.us-east-1.amazonaws.com/k": "aws_s3", "https://storage.googleapis.com/b/k": "gcs", "http://CDN3.x.test/a": "generic_cdn", "http://uploads.x.test/a": "generic_upload", "http://x.test/cdn.": "other"}
+    assert {u: one(spark, u, extract.host_kind) for u in cases} == cases
+
+
+def test_forum_page(spark):
+    page = '<b class="subject"> A </b><div class="post"><span class="name">Anonymous</span></div><div class="reply"><span class="postername">Ulf</span>01/02/98 (Mon) 10:20<img src="a.jpg"><a href="a.jpg">' + "<blockquote>more than <i>ten</i> letters</blockquote><blockquote>short</blockquote>"
+    f = one(spark, page, extract.forum_fields)
+    assert (f["subjects"], f["posts"], f["images"], f["names"], f["dates"], f["replies"]) == (["A"], 3, 1, ["Ulf"], ["01/02/98 (Mon) 10:20"], ["more than ten letters"])
