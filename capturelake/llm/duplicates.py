@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,52 +34,79 @@ def dictionary(values: DataFrame, canonical: Callable[[Column], Column]) -> Data
     return forms.select("_value", c1.alias("_c1"), c2.alias("_c2"))
 
 
-def encode(df: DataFrame, row_id: str, fields: list[Field]) -> DataFrame:
-    """(row_id, _key): each record as its identifier and the tuple of its fields' integers, in field name order.
+#: Tables of one call, by name: rows, their id column, and the fields of their key.
+Tables = dict[str, tuple[DataFrame, str, list[Field]]]
 
-    Rows with a NULL canonical form are left out; NULL and '' of a field compared as it is are values.
+
+def encode(tables: Tables) -> DataFrame:
+    """(table_name, row_id, k0, k1, ...): each record as its identifier and the tuple of its fields' integers.
+
+    The tables go through one pipeline with one dictionary: a value that several of them hold is canonicalised once. Fields
+    with a canonical form come first in a tuple, each part in field name order; shorter tuples end in zeros. Rows
+    with a NULL canonical form are left out; NULL and '' of a field compared as it is are values.
     """
-    fields = sorted(fields, key=lambda f: f.column)
-    wanted = df.select(F.col(row_id).alias("row_id"), *[F.col(f.column).alias(f"_f{i}") for i, f in enumerate(fields)])
-    for i, f in enumerate(fields):
-        text = F.col(f"_f{i}")
-        if f.canonical is None:
-            one, two = id128(text)
-            code = F.array(F.when(text.isNull(), 0).otherwise(one), F.when(text.isNull(), 0).otherwise(two))
-            wanted = wanted.withColumn(f"_f{i}", code)
-        else:
-            codes = dictionary(wanted.filter(text.isNotNull()).select(text.alias("_value")), f.canonical)
-            wanted = wanted.join(codes, text == F.col("_value")).withColumn(f"_f{i}", F.array("_c1", "_c2")).drop("_value", "_c1", "_c2")
-    key = F.flatten(F.array(*[F.col(f"_f{i}") for i in range(len(fields))]))
-    return wanted.select("row_id", *[F.element_at(key, k + 1).alias(f"k{k}") for k in range(2 * len(fields))])
+    forms = {f.canonical for _, _, fields in tables.values() for f in fields if f.canonical}
+    if len(forms) > 1:
+        raise ValueError("one canonical form per call")
+    split = {n: ([f for f in sorted(fs, key=lambda f: f.column) if f.canonical], [f for f in sorted(fs, key=lambda f: f.column) if not f.canonical]) for n, (_, _, fs) in tables.items()}
+    slots, plain = max(len(c) for c, _ in split.values()), max(len(p) for _, p in split.values())
+    parts = []
+    for name, (df, row_id, _) in tables.items():
+        own, others = split[name]
+        codes = []
+        for f in others:
+            codes += [F.when(F.col(f.column).isNull(), F.lit(0)).otherwise(c) for c in id128(F.col(f.column))]
+        codes += [F.lit(0)] * (2 * plain - len(codes))
+        texts = [F.col(f.column) for f in own] + [F.lit(None)] * (slots - len(own))
+        row = df.select(F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"), *[t.cast("string").alias(f"_t{j}") for j, t in enumerate(texts)], *[c.cast("long").alias(f"k{2 * slots + i}") for i, c in enumerate(codes)])
+        parts.append(row.dropna(subset=[f"_t{j}" for j in range(len(own))]) if own else row)
+    rows = reduce(DataFrame.unionByName, parts)
+    if slots:
+        texts = reduce(DataFrame.unionByName, [rows.select(F.col(f"_t{j}").alias("_value")) for j in range(slots)])
+        codes = dictionary(texts.dropna(), forms.pop())
+    for j in range(slots):
+        everywhere = all(len(c) > j for c, _ in split.values())
+        coded = codes.select(F.col("_value").alias("_w"), F.col("_c1").alias(f"k{2 * j}"), F.col("_c2").alias(f"k{2 * j + 1}"))
+        rows = rows.join(coded, F.col(f"_t{j}") == F.col("_w"), "inner" if everywhere else "left").filter(F.col(f"_t{j}").isNull() | F.col(f"k{2 * j}").isNotNull()).drop("_w", f"_t{j}")
+    return rows.select("table_name", "row_id", *[F.coalesce(f"k{i}", F.lit(0)).alias(f"k{i}") for i in range(2 * (slots + plain))])
 
 
 def group_sizes(encoded: DataFrame) -> DataFrame:
-    """Of each group of equal tuples the smallest id and the number of rows, combined map-side."""
+    """Of each group of equal tuples of a table the smallest id and the number of rows, combined map-side."""
     keys = [c for c in encoded.columns if c != "row_id"]
     return encoded.groupBy(*keys).agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
 
-def copies(df: DataFrame, row_id: str, fields: list[Field]) -> DataFrame:
-    """(first_id, copy_id): each row but the smallest id of a group of formatting duplicates.
+def copies_in(tables: Tables) -> DataFrame:
+    """(table_name, first_id, copy_id): each row but the smallest id of a group of formatting duplicates of its table.
 
     The encoded tuples are written once and read twice: to find the groups with more than one row,
     and to name their rows. A group that holds a third of all rows is one row on the grouped side,
     and its rows are split by the runtime where they are too many for a task. Rows that share an id
     with the first one do not come out; an empty table gives an empty result.
     """
-    require_skew_splitting(df.sparkSession)
-    encoded = materialise(encode(df, row_id, fields), "encoded")
+    require_skew_splitting(next(iter(tables.values()))[0].sparkSession)
+    encoded = materialise(encode(tables), "encoded")
     keys = [c for c in encoded.columns if c != "row_id"]
     groups = group_sizes(encoded).filter(F.col("copies") > 1).drop("copies")
     return (
         encoded.join(groups, keys)
         .filter(F.col("row_id") != F.col("first_id"))
-        .select("first_id", F.col("row_id").alias("copy_id"))
+        .select("table_name", "first_id", F.col("row_id").alias("copy_id"))
     )
 
 
+def copies(df: DataFrame, row_id: str, fields: list[Field]) -> DataFrame:
+    """(first_id, copy_id) of one table, see ``copies_in``."""
+    return copies_in({"": (df, row_id, fields)}).drop("table_name")
+
+
+def collapse_in(tables: Tables) -> DataFrame:
+    """(table_name, first_id, copies): one record per group of formatting duplicates, with the number of its rows."""
+    require_skew_splitting(next(iter(tables.values()))[0].sparkSession)
+    return group_sizes(encode(tables)).select("table_name", "first_id", "copies")
+
+
 def collapse(df: DataFrame, row_id: str, fields: list[Field]) -> DataFrame:
-    """(first_id, copies): one record per group of formatting duplicates, with the number of its rows."""
-    require_skew_splitting(df.sparkSession)
-    return group_sizes(encode(df, row_id, fields)).select("first_id", "copies")
+    """(first_id, copies) of one table, see ``collapse_in``."""
+    return collapse_in({"": (df, row_id, fields)}).drop("table_name")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +19,17 @@ ADDRESSED = {
 }
 
 
+def _addressed(spark: SparkSession, d: str) -> duplicates.Tables:
+    return {name: (table(spark, d, name), row_id, fields) for name, (row_id, fields) in ADDRESSED.items()}
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [
-        duplicates.copies(table(spark, d, name), row_id, fields).select(F.lit(name).alias("table_name"), "first_id", "copy_id")
-        for name, (row_id, fields) in ADDRESSED.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return duplicates.copies_in(_addressed(spark, d))
 
 
 def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     """One record per group, with the number of its copies."""
-    parts = [
-        duplicates.collapse(table(spark, d, name), row_id, fields).select(F.lit(name).alias("table_name"), "first_id", "copies")
-        for name, (row_id, fields) in ADDRESSED.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return duplicates.collapse_in(_addressed(spark, d))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:

@@ -23,6 +23,17 @@ def test_copies(spark):
     assert duplicates.copies(df.limit(0), "id", fields).count() == 0
 
 
+def test_tables_of_different_keys(spark):
+    a = spark.createDataFrame([(1, "http://x.test/a", "s"), (2, "http://x.test/A/", "s"), (3, "http://x.test/a", "t")], "id long, url string, source string")
+    b = spark.createDataFrame([(1, "http://x.test/a"), (2, "HTTP://x.test/a"), (3, None)], "key long, link string")
+    c = spark.createDataFrame([(5, "s"), (4, "s"), (6, None), (7, None), (8, "S")], "id long, name string")
+    tables = {"a": (a, "id", [Field("url", address), Field("source")]), "b": (b, "key", [Field("link", address)]), "c": (c, "id", [Field("name")])}
+    assert sorted(tuple(r) for r in duplicates.copies_in(tables).collect()) == [("a", 1, 2), ("b", 1, 2), ("c", 4, 5), ("c", 6, 7)]
+    assert sorted(tuple(r) for r in duplicates.collapse_in(tables).collect()) == [("a", 1, 2), ("a", 3, 1), ("b", 1, 2), ("c", 4, 2), ("c", 6, 2), ("c", 8, 1)]
+    with pytest.raises(ValueError):
+        duplicates.encode({"a": (a, "id", [Field("url", address), Field("source", F.lower)])})
+
+
 def test_hot_group(spark):
     df = spark.range(30_000).selectExpr("id", "concat('http://x.test/', if(id % 3 = 0, 'hot', cast(id as string)), if(id % 2 = 0, '/', '')) as url")
     got = duplicates.copies(df, "id", [Field("url", address)])
