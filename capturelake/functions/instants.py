@@ -146,6 +146,24 @@ def _civil_seconds(text: Column) -> Column:
     return F.when(good, _days(year, month, day) * 86400 + hour * 3600 + minute * 60 + second)
 
 
+def instant_of(c: Column, default_zone: Column) -> Column:
+    """UTC second of what ``components`` read; NULL for a date, and for a clock time that the zone skips or whose zone is unknown."""
+    zone = F.when(c["zone"] == "", default_zone).otherwise(c["zone"])
+
+    def placed(z: Column) -> Column:
+        digits = F.regexp_replace(z, ":", "")
+        hours, minutes = F.substring(digits, 2, 2).cast("int"), F.coalesce(F.nullif(F.substring(digits, 4, 2), F.lit("")), F.lit("0")).cast("int")
+        shift = F.when(z.startswith("-"), -1).otherwise(1) * (hours * 3600 + minutes * 60)
+        offset = F.when(F.length(z) <= 5, F.element_at(_abbreviations(), F.upper(z)))
+        return (
+            F.when(z.rlike("^[+-]"), F.when((hours <= 18) & (minutes <= 59), c["local"] - shift))
+            .when(offset.isNotNull(), c["local"] - offset * 3600)
+            .when(z.isin(*known_zones()), _at_zone(c["local"], z))
+        )
+
+    return F.when(c["kind"] == "epoch", c["local"]).when(c["kind"] == "time", let(zone, placed))
+
+
 def utc_seconds(text: Column, default_zone: Column) -> Column:
     """UTC second that a timestamp text names; NULL if it names none.
 
@@ -153,26 +171,9 @@ def utc_seconds(text: Column, default_zone: Column) -> Column:
     no instant). NULL, '', dates without a time, impossible or skipped clock times and unknown
     zones give NULL. A 14-digit text needs no expression match.
     """
-
-    def instant(c: Column) -> Column:
-        zone = F.when(c["zone"] == "", default_zone).otherwise(c["zone"])
-
-        def placed(z: Column) -> Column:
-            digits = F.regexp_replace(z, ":", "")
-            hours, minutes = F.substring(digits, 2, 2).cast("int"), F.coalesce(F.nullif(F.substring(digits, 4, 2), F.lit("")), F.lit("0")).cast("int")
-            shift = F.when(z.startswith("-"), -1).otherwise(1) * (hours * 3600 + minutes * 60)
-            offset = F.when(F.length(z) <= 5, F.element_at(_abbreviations(), F.upper(z)))
-            return (
-                F.when(z.rlike("^[+-]"), F.when((hours <= 18) & (minutes <= 59), c["local"] - shift))
-                .when(offset.isNotNull(), c["local"] - offset * 3600)
-                .when(z.isin(*known_zones()), _at_zone(c["local"], z))
-            )
-
-        return F.when(c["kind"] == "epoch", c["local"]).when(c["kind"] == "time", let(zone, placed))
-
     digits = _civil_seconds(text)
     plain = F.when(default_zone == "UTC", digits).otherwise(_at_zone(digits, default_zone))
-    return F.when(text.rlike(r"^[0-9]{14}\z") & default_zone.isin(*known_zones()), plain).otherwise(let(components(text), instant))
+    return F.when(text.rlike(r"^[0-9]{14}\z") & default_zone.isin(*known_zones()), plain).otherwise(let(components(text), lambda c: instant_of(c, default_zone)))
 
 
 def _abbreviations() -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from capturelake.functions.instants import components, utc_seconds
+from capturelake.functions.instants import components, instant_of
+from capturelake.session import let
 
 # Texts which stand for a missing value.
 NO_VALUE = ("", "n/a", "null", "none", "unknown", "-", "?")
@@ -13,18 +14,17 @@ NO_VALUE = ("", "n/a", "null", "none", "unknown", "-", "?")
 TRUE_TEXTS = ("true", "yes", "on", "t", "y", "1")
 FALSE_TEXTS = ("false", "no", "off", "f", "n", "0")
 
-_EDGE = r"[\s\x00-\x1f\u0085   -​    　﻿]+"
+#: White space, control and invisible characters that do not count around a value.
+_EDGE = "".join(map(chr, (*range(0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 #: A number; whole numbers may be grouped by commas.
 _NUMBER = r"^[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.0*)?|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,4})?)\z"
 
 
-def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_EDGE}|{_EDGE}" + r"\z", "")
-
-
 def clean_value(text: Column) -> Column:
     """Text without outer white space and one pair of double quotes; NULL for a text that stands for no value."""
-    inner = _trimmed(F.regexp_replace(_trimmed(text), r'(?s)^"(.*)"\z', "$1"))
+    outer = F.btrim(text, F.lit(_EDGE))
+    quoted = outer.startswith('"') & outer.endswith('"') & (F.length(outer) > 1)
+    inner = F.when(quoted, F.btrim(F.substr(outer, F.lit(2), F.length(outer) - 2), F.lit(_EDGE))).otherwise(outer)
     return F.when(~F.lower(inner).isin(*NO_VALUE), inner)
 
 
@@ -59,8 +59,5 @@ def to_boolean(clean: Column) -> Column:
 
 def to_timestamp(clean: Column) -> Column:
     """A date, or a date with a time, that exists; without a zone it is UTC. Bare counts of seconds are no dates."""
-    parts = components(clean)
-    return F.when(
-        ~clean.rlike(r"^[0-9]{9,13}\z"),
-        F.timestamp_seconds(F.when(parts["kind"] == "date", parts["local"]).otherwise(utc_seconds(clean, F.lit("UTC")))),
-    )
+    read = lambda c: F.when(c["kind"] == "date", c["local"]).otherwise(instant_of(c, F.lit("UTC")))
+    return F.when(~clean.rlike(r"^[0-9]{9,13}\z"), F.timestamp_seconds(let(components(clean), read)))
