@@ -37,7 +37,9 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivor.best_hits(_hits(spark, d))
+    """Best hits by the stated order, then by learned precedence; the hits are parsed once, for learning and for the choice."""
+    hits = _hits(spark, d).select("a1", "a2", "hit_id", "confidence", "size", "instant", *survivor.CURRENT)
+    return survivor.best_hits(materialise(hits, "hits"))
 
 
 def p6_fields(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from capturelake.functions.address import address
-from capturelake.llm import duplicates, leakage, survivor, tokens, truncation
+from capturelake.llm import duplicates, leakage, queries, survivor, tokens, truncation
 from capturelake.llm.duplicates import Field
 from capturelake.session import materialise
 
@@ -69,6 +69,50 @@ def test_precedence(spark, sources):
     assert survivor.survivors(hits.limit(0)).count() == 0
 
 
+HIT = "hit_id long, url string, archive string, timestamp string, size long, status string, mimetype string, confidence double"
+
+
+def test_best_hits_by_precedence(spark, sources):
+    rows = [(k, f"http://x.test/{k // 2}", "wayback", ["20010101000000", "20020101000000"][k % 2], 1, ["old", "new"][k % 2], "m", 0.5) for k in range(2, 8)]
+    rows += [(k, "http://x.test/q", "wayback", "2001", 0 if k == 12 else 1, status, "m", 0.5) for k, status in ((10, "-"), (11, "old"), (12, "new"), (13, "old"))]
+    rows += [(20, "http://x.test/r", "wayback", None, 1, "old", "m", 0.9), (21, "http://x.test/r", "wayback", "2001", 1, "new", "m", 0.5)]
+    hits = survivor.prepare(spark.createDataFrame(rows, HIT), sources)
+    found = lambda **x: {tuple(r) for r in survivor.best_hits(hits, **x).collect() if r["group_hit_id"] >= 10}
+    assert found(stated=("confidence", "instant")) == {(10, 12, 11, 0), (20, 20, 20, 0)}  # states decide what confidence and instant leave equal
+    assert found(stated=("confidence", "instant"), current=()) == found() == {(10, 10, 10, 0), (20, 20, 20, 0)}
+
+
+def test_p6_found_learns_precedence(spark, tmp_path, sources, monkeypatch):
+    rows = [(2 * g + k, f"http://x.test/{g}", "wayback", ["20010101000000", "20020101000000"][k], 1, "200", f"t/{g + k}", 0.5) for g in range(1200) for k in (0, 1)]
+    spark.createDataFrame([(*r[:7], "d", r[7]) for r in rows], HIT.replace("confidence", "download_url string, confidence")).write.parquet(f"{tmp_path}/archive_hits.parquet")
+    sources.write.parquet(f"{tmp_path}/archive_sources.parquet")
+    learned = []
+    learn = survivor.learn_precedences
+    monkeypatch.setattr(survivor, "learn_precedences", lambda *a: learned.append(learn(*a)) or learned[-1])
+    got = {tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()}
+    assert got == {(2 * g, 2 * g + 1, 2 * g + 1, 2 * g + 1) for g in range(1200)}
+    assert learned == [{"status": {}, "mimetype": {f"t/{k}": k for k in range(1201)}}]  # of any number of values
+
+
+def test_acyclic():
+    def plain(edges):
+        kept = defaultdict(set)
+        for a, b in edges:
+            met, todo = set(), [b]
+            while todo:
+                met.add(x := todo.pop())
+                todo += kept[x] - met
+            if a not in met:
+                kept[a].add(b)
+        return {a: bs for a, bs in kept.items() if bs}
+
+    rng = random.Random(5)
+    for _ in range(500):
+        n = rng.randint(2, 12)
+        edges = [tuple(rng.sample([str(k) for k in range(n)], 2)) for _ in range(rng.randint(1, 40))]
+        assert survivor.acyclic(edges) == plain(edges)
+
+
 # ---- tokens
 @pytest.fixture(scope="module")
 def enc():
